@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact
+from docspark.llm import bpe, exact, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op7_exact": exact.op7_exact,
 }
 
