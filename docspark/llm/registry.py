@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, simhash
+from docspark.llm import bpe, exact, language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op7_exact": exact.op7_exact,
+    "op9_language": language.op9_language,
 }
 
 ORACLES: dict[str, str] = {
