@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, simhash
+from docspark.llm import bpe, exact, language, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_mix": mixing.op2_mix,
     "op4_simhash": simhash.op4_simhash,
     "op7_exact": exact.op7_exact,
     "op9_language": language.op9_language,
