@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, mixing, simhash
+from docspark.llm import bpe, exact, language, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
     "op7_exact": exact.op7_exact,
     "op9_language": language.op9_language,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {
