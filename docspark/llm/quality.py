@@ -46,17 +46,17 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    names: dict[bytes, int] = {}
-    ids = np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64)
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.array(list(map(names.__getitem__, words)), dtype=np.int64)
     # windows are named exactly: names of the two halves, paired, three times over
     size = 1
     while size < window:
         pair = ids[:-size] * (int(ids.max()) + 1) + ids[size:]
-        ids = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        found, ids = np.unique(pair, return_inverse=True)
+        if len(found) == len(ids):  # no longer window can repeat
+            return 0
         size *= 2
     again = np.bincount(ids)[ids] > 1
-    if not again.any():
-        return 0
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     at = np.flatnonzero(again)
     np.add.at(edge, at, 1)
