@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, mixing, quality, simhash
+from docspark.llm import bpe, exact, language, mixing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mix": mixing.op2_mix,
     "op4_simhash": simhash.op4_simhash,
+    "op5_secrets": secrets.op5_secrets,
     "op7_exact": exact.op7_exact,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
