@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, mixing, quality, secrets, simhash
+from docspark.llm import bpe, exact, language, lines, mixing, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mix": mixing.op2_mix,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets.op5_secrets,
+    "op6_warc": warc.op6_warc,
     "op7_exact": exact.op7_exact,
+    "op8_lines": lines.op8_lines,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
 }
