@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, lines, mixing, quality, secrets, simhash, warc
+from docspark.llm import bpe, exact, language, lines, mixing, passages, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mix": mixing.op2_mix,
+    "op3_passages": passages.op3_passages,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets.op5_secrets,
     "op6_warc": warc.op6_warc,
