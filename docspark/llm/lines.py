@@ -55,7 +55,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos")
     held = settle(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1"), "chunk-hashes")
     again = settle(rows.join(held, "hash").withColumn("is_first", F.col("first") == at).select("hash", "doc_id", "pos", "chunk", "is_first"), "chunks")
-    one = again.filter("is_first").groupBy("hash").agg(F.min("chunk").alias("kept"))
+    one = settle(again.filter("is_first").groupBy("hash").agg(F.min("chunk").alias("kept")), "first-chunks")
     return again.filter("not is_first").join(one, "hash").filter(F.col("chunk").cast("binary") == F.col("kept").cast("binary")).select("doc_id", "pos")
 
 

@@ -109,6 +109,7 @@ def links(distinct: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFram
     rows = index(distinct)
     # a bucket is of use only if two fingerprints meet in it
     held = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 and (bit = -1 or lo <> hi)").drop("lo", "hi")
+    held = settle(held, "held")
     met = settle(rows.join(held, keys), "buckets")
     plain = _pairs(met.filter(F.col("n") <= crowd), keys, "side", "bit", bits)
     other = F.when(F.col("seg") == 0, _segment("fp", 1)).otherwise(_segment("fp", 0))

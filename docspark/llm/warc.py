@@ -108,7 +108,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     """``(page_id, url, payload, refers_to, revisit)``: which pages repeat the payload of which."""
     rows = pages.select("page_id", "url", text_bytes("html").alias("payload")).withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     first = rows.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id")).alias("first"), F.count("*").alias("n"))
-    met = rows.join(first.filter("n > 1"), ["sha", "size"], "left")
+    met = rows.join(settle(first.filter("n > 1"), "payloads"), ["sha", "size"], "left")
     revisit = F.coalesce(F.col("n") > 1, F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return met.select("page_id", "url", "payload", F.when(revisit, F.col("first.page_id")).alias("refers_to"), revisit.alias("revisit"))
 
