@@ -103,7 +103,7 @@ def duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     named = settle(identities(docs.select("doc_id", "text"), block_bytes), "identities")
     # a struct orders null ids last and ties by digest, so exactly one row of a group is first
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("first")
-    groups = named.groupBy("level", "name").agg(first, F.sum("copies").alias("group_size"))
+    groups = settle(named.groupBy("level", "name").agg(first, F.sum("copies").alias("group_size")), "groups")
     return (
         named.join(groups, ["level", "name"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
