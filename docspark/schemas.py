@@ -1,0 +1,15 @@
+"""Fixed schemas of the tables that jobs exchange."""
+
+BLOCKS = (
+    "doc_id bigint, chapter_index int, block_order int, block_id string, type string, text string, page_number int, "
+    "image_data binary, image_ext string, image_width int, image_height int, translated_text string"
+)
+CHAPTERS = "doc_id bigint, chapter_index int, chapter_id string, title string, entry_name string"
+GLOSSARY = "position int, term string, translation string"
+SPANS = "doc_id bigint, page_number int, block_no int, line_no int, span_no int, text string, size double"
+ZIP_ENTRIES = "path string, entry_index int, name string, file_size bigint, compress_size bigint"
+JOB_EVENTS = (
+    "job_id string, seq bigint, ts timestamp, kind string, format string, original_filename string, input_path string, "
+    "output_path string, translated_blocks int, total_blocks int, error_message string"
+)
+RESULT = "text string, input_tokens int, output_tokens int, error string"
