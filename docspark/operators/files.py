@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 MAX_SIZE = 50 * 1024 * 1024
 MAX_NAME = 200
@@ -45,7 +46,7 @@ def checked(files: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     return files.withColumn("format", F.when(ext.isin("txt", "epub", "pdf"), ext)).withColumn("reason", reason)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode())
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from docspark.functions.text import paragraphs
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes that are no UTF-8: cp1252 if it can be, else Latin-1."""
 
