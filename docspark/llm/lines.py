@@ -18,6 +18,8 @@ that repeats within its document is removed there too; rows that repeat a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docspark.llm.common import settle
@@ -27,14 +29,24 @@ MEAN_LINES = 4
 LEAST_LINES = 2
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body, or a lambda in it, uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """``(doc_id, lines, ends)``: lines of each text and the number of each chunk's last line."""
-    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    rolled = lambda i: F.xxhash64(*[F.get("hashes", i - k) for k in range(WINDOW)])
-    last = F.size("lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(MEAN_LINES)) == 0))
-    return rows.withColumn("ends", ends).select("doc_id", "lines", "ends")
+
+    def ends(hashes: Column) -> Column:
+        last = F.size(hashes) - 1
+        rolled = lambda i: F.xxhash64(*[F.get(hashes, i - k) for k in range(WINDOW)])
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(MEAN_LINES)) == 0))
+
+    cut = _let(
+        F.split(F.coalesce("text", F.lit("")), "\n", -1),
+        lambda lines: F.struct(lines.alias("lines"), _let(F.transform(lines, lambda x: F.xxhash64(x)), ends).alias("ends")),
+    )
+    return docs.select("doc_id", cut.alias("cut")).select("doc_id", "cut.lines", "cut.ends")
 
 
 def _first_line(pos: Column) -> Column:
@@ -54,7 +66,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = chunks(docs)
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos")
     held = settle(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1"), "chunk-hashes")
-    again = settle(rows.join(held, "hash").withColumn("is_first", F.col("first") == at).select("hash", "doc_id", "pos", "chunk", "is_first"), "chunks")
+    again = settle(rows.join(held.hint("merge"), "hash").withColumn("is_first", F.col("first") == at).select("hash", "doc_id", "pos", "chunk", "is_first"), "chunks")
     one = settle(again.filter("is_first").groupBy("hash").agg(F.min("chunk").alias("kept")), "first-chunks")
     return again.filter("not is_first").join(one, "hash").filter(F.col("chunk").cast("binary") == F.col("kept").cast("binary")).select("doc_id", "pos")
 
@@ -63,7 +75,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, removed_lines, removed, text)``: ``removed`` lists the removed lines as ``first:end``, end exclusive."""
     gone = repeated(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnRenamed("doc_id", "__id")
     rows = chunked(docs)
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]), "left")
+    rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["__id"]), "left")
     spans = F.transform(F.coalesce("gone", F.expr("cast(array() as array<int>)")), lambda p: F.struct(_first_line(p).alias("first"), (F.get("ends", p) + 1).alias("end")))
     rows = rows.withColumn("spans", spans)
     kept = F.filter(
