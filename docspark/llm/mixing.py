@@ -186,7 +186,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = settle(sized(docs), "sizes")
     sources = source_table(rows)
     rows = settle(placed(rows, sources), "places")
-    return rows, slot_blocks(sources).join(pieces(rows), ["number", "block"])
+    # slots unfold from a few rows, so Spark would take them for small and broadcast them
+    return rows, slot_blocks(sources).hint("merge").join(pieces(rows), ["number", "block"])
 
 
 def taken(docs: DataFrame) -> DataFrame:
