@@ -39,6 +39,8 @@ WEIGHTS = (1, 2, 3)
 #: No document is taken more than this many times.
 REPEATS = 3
 MAX_SOURCES = 100_000
+#: Slots that one task unfolds, about, and the most tasks that do so.
+TASK_SLOTS, MAX_TASKS = 1 << 18, 20_000
 SEED = 20
 BUCKET_ROWS, SPAN_BUCKETS = 64, 128
 
@@ -163,9 +165,12 @@ def slot_blocks(sources: DataFrame) -> DataFrame:
                         block[turn == k] = permuted(place[turn == k], r.blocks, r.number * 16 + int(k))
                     yield pd.DataFrame({"shard": r.shard, "number": np.int32(r.number), "slot": slot, "turn": turn.astype(np.int32), "block": block})
 
-    # a row stands for thousands of slots, so rows are spread before they unfold
+    # a row stands for thousands of slots, so rows are spread before they unfold; a given
+    # number of tasks keeps Spark from merging them by the few bytes these rows have
     rows = draws(sources).join(sources.select("number", "blocks"), "number").select("shard", "number", "first", "n", "blocks")
-    return rows.repartition(F.col("shard"), F.col("number")).mapInPandas(run, "shard long, number int, slot long, turn int, block long")
+    slots = sources.agg(F.sum("slots")).first()[0] or 0
+    tasks = min(MAX_TASKS, -(-slots // TASK_SLOTS)) or 1
+    return rows.repartition(tasks, F.col("shard"), F.col("number")).mapInPandas(run, "shard long, number int, slot long, turn int, block long")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
