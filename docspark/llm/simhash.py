@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docspark.llm.common import settle, text_bytes
@@ -63,11 +62,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` of every row."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.int64)})
+            # one text at a time leaves its buffer: a batch is never held a second time as Python objects
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", text_bytes("text").alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", text_bytes("text").alias("text")).mapInArrow(run, schema)
 
 
 def _segment(fp: str, number: int) -> Column:
