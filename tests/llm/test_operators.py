@@ -98,6 +98,34 @@ def test_passages(docs, none):
     assert passages.passages(none).count() == 0
 
 
+def test_passages_between_the_ends_of_a_signature(spark):
+    r = random.Random(5)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=7)) for _ in range(n)]
+    passage = own(56)
+    pieces = [own(50) + passage[k : k + 8] + own(50) for k in range(0, 52, 4)]
+    spoilers = [[w for p in pieces for w in p] for _ in range(1)] + [[w for k in range(0, 52, 4) for w in own(50) + passage[k : k + 8] + own(50)] for _ in range(7)]
+    rows = [(i if i < 4 else 100 + i, " ".join(w)) for i, w in enumerate(spoilers)]
+    rows += [(50, " ".join(own(70) + passage + own(70))), (51, " ".join(own(70) + passage + own(70)))]
+    found = {(r.a, r.b): r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (50, 51) in found
+    assert (found[50, 51].a_first, found[50, 51].a_end) == (70, 126)
+
+
+def test_passages_of_a_crowd(spark):
+    r = random.Random(6)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=7)) for _ in range(n)]
+    passage, n = own(70), 60
+    rows = [(i, " ".join(own(30 + i % 7) + passage[i % 3 * 5 : 60 + i % 3 * 5] + own(40))) for i in range(n)]
+    rows += [(n + i, " ".join(own(40) + passage[12:20] + own(40))) for i in range(30)]
+    found = {(r.a, r.b) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(b < n for _, b in found)
+    assert len(found) < n * (n - 1) / 2
+    root = {i: i for i in range(n)}
+    for a, b in sorted(found) * 6:
+        root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) == {0}
+
+
 def test_compact_windows():
     import numpy as np
 
