@@ -172,6 +172,34 @@ def test_simhash(spark, docs, none):
         assert {(r.a, r.b) for r in simhash.links(df, crowd=crowd).collect()} == want
 
 
+def test_near_stage(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    texts = []
+    for n, edits in [(60, 1)] * 6 + [(120, 2)] * 6 + [(120, 5)] * 4 + [(300, 5)] * 6:
+        base = own(n)
+        copy = list(base)
+        for k in range(edits):
+            copy[(2 * k + 1) * n // (2 * edits)] = own(1)[0]
+        texts += [" ".join(base), " ".join(copy)]
+    family = own(90)
+    texts += [" ".join(family[:k] + own(1) + family[k + 1 :]) for k in range(10, 80, 2)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(own(40))), (None, " ".join(own(40))), (0, " ".join(own(40))), (900, ""), (901, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (words(t) for _, t in rows)]
+    root = list(range(len(rows)))
+    for _ in range(4):
+        for i in range(len(rows)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = {rows[i] for i in set(root)}
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(want) < len(rows) - 50
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
