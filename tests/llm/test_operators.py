@@ -126,6 +126,71 @@ def test_passages_of_a_crowd(spark):
     assert set(root.values()) == {0}
 
 
+def _similar_passages(x, y):
+    """Brute force: whether two texts have passages of 50 words, at whatever places, of similarity 0.8."""
+    for size in (50, 53, 60):
+        sets = [[{tuple(w[i + k : i + k + 5]) for k in range(size - 4)} for i in range(len(w) - size + 1)] for w in (x, y)]
+        for p in sets[0]:
+            for q in sets[1]:
+                if len(p & q) >= 0.8 * len(p | q):
+                    return True
+    return False
+
+
+def test_edited_passages(spark):
+    """Planted passages with edits: recall of the pairs that brute force finds, and nothing that it does not."""
+    r = random.Random(8)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=5)) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(100):
+        passage = own(r.choice([50, 55, 60, 80, 120]))
+        copy = list(passage)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at, how = r.randrange(len(copy)), r.randrange(3)
+            copy[at : at + (how != 1)] = own(1) if how < 2 else []
+        rows += [(2 * k, " ".join(own(r.randrange(40)) + passage + own(r.randrange(40)))), (2 * k + 1, " ".join(own(r.randrange(40)) + copy + own(r.randrange(40))))]
+        pairs.append((2 * k, 2 * k + 1))
+    text = dict(rows)
+    want = {p for p in pairs if _similar_passages(text[p[0]].split(), text[p[1]].split())}
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(f.a, f.b) for f in found}
+    assert len(want) > 60 and len(want & got) >= 0.9 * len(want)
+    assert got <= set(pairs)
+    for f in found:
+        p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (text[f.a].split()[f.a_first : f.a_end], text[f.b].split()[f.b_first : f.b_end]))
+        assert min(f.a_end - f.a_first, f.b_end - f.b_first) >= 50 and len(p & q) >= 0.8 * len(p | q)
+        assert f.similarity == pytest.approx(len(p & q) / len(p | q))
+
+
+def test_aligned_stretches():
+    """Passages that only a part of two texts makes up, with long gaps, repeats and changed order."""
+    import numpy as np
+
+    r = random.Random(4)
+    hashes = passages.WordHashes()
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    spans = lambda x, y: [s[:4] for s in sorted(passages.aligned(hashes.of(" ".join(x).encode()), hashes.of(" ".join(y).encode())))]
+    base = own(600)
+    changed = [own(1)[0] if (k < 300 and k % 25 == 12) or (k >= 300 and k % 49 == 24) else w for k, w in enumerate(base)]
+    assert any(b - a > 250 and a > 200 for a, b, _, _ in spans(base, changed))
+    split = base[:49] + own(7) + base[49:98]
+    assert spans(base[:98], split) == [(0, 98, 0, 105)]
+    assert spans(own(9) + base[:45] + own(9), own(9) + base[:45] + own(9)) == [(9, 59, 9, 59)]
+    assert spans(own(30) + base[:60] + base[100:160], own(9) + base[100:160] + base[:60]) == [(30, 90, 69, 129), (90, 150, 9, 69)]
+    assert spans(["the"] * 80, ["the"] * 90) == []
+    assert spans(base[:60] * 3, own(5) + base[:60]) != []
+    assert passages.aligned(np.zeros(0, np.uint32), np.zeros(3, np.uint32)) == []
+
+
+def test_passages_of_rows_without_ids(spark):
+    r = random.Random(3)
+    own = lambda n: " ".join("".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n))
+    p, q, s = own(60), own(60), own(60)
+    rows = [(None, f"{own(9)} {p}"), (None, f"{own(5)} {p} {own(4)}"), (7, q), (7, f"{own(3)} {q} {s}"), (8, f"{s} {own(4)}"), (9, q), (9, q), (None, None)]
+    got = {(f.a, f.b) for f in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, None), (7, 7), (7, 8), (7, 9)}
+
+
 def test_compact_windows():
     import numpy as np
 
