@@ -167,9 +167,8 @@ def test_aligned_stretches():
     import numpy as np
 
     r = random.Random(4)
-    hashes = passages.WordHashes()
     own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
-    spans = lambda x, y: [s[:4] for s in sorted(passages.aligned(hashes.of(" ".join(x).encode()), hashes.of(" ".join(y).encode())))]
+    spans = lambda x, y: [s[:4] for s in sorted(passages.aligned(passages.word_hashes(" ".join(x).encode()), passages.word_hashes(" ".join(y).encode())))]
     base = own(600)
     changed = [own(1)[0] if (k < 300 and k % 25 == 12) or (k >= 300 and k % 49 == 24) else w for k, w in enumerate(base)]
     assert any(b - a > 250 and a > 200 for a, b, _, _ in spans(base, changed))
