@@ -12,6 +12,14 @@ MAX_SIZE = 50 * 1024 * 1024
 MAX_NAME = 200
 
 
+def max_size(setting: str | None) -> int:
+    """The limit that a setting gives in bytes; the default where there is none or it is no whole number."""
+    try:
+        return MAX_SIZE if setting is None else int(setting)
+    except ValueError:
+        return MAX_SIZE
+
+
 def formats(spark: SparkSession) -> DataFrame:
     """The dimension of formats: three rows."""
     return spark.sql("select * from values ('txt','text/plain','.txt'), ('epub','application/epub+zip','.epub'), ('pdf','application/pdf','.html') as t(format, media_type, output_ext)")

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docspark.functions.text import spaced_controls, strip
 
 MAX_CHARS = 100
-#: Terms up to which every chunk is tried against every term, in a literal of bounded size.
-SMALL = 1000
 # Entries that try to give instructions.
 SUSPICIOUS = (
     r"ignor\w*.{0,30}instruccion",
@@ -21,11 +19,10 @@ SUSPICIOUS = (
 
 
 def from_json(spark: SparkSession, path: str) -> DataFrame:
-    """``(position, term, translation)`` of a JSON object of strings; anything else is an error."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.from_json("value", "map<string,string>").alias("m"), F.json_object_keys("value").alias("k"))
-    told = raw.withColumn("m", F.when(F.col("m").isNull() | F.col("k").isNull(), F.raise_error(F.lit("the glossary is no JSON object")).cast("map<string,string>")).otherwise(F.col("m")))
-    rows = told.select(F.posexplode(F.array_distinct("k")).alias("position", "term"), "m")
-    return rows.select("position", "term", F.col("m")[F.col("term")].alias("translation"))
+    """``(position, term, translation)`` of a JSON object of strings, repeated terms too; anything else is an error."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"), F.json_object_keys("value").alias("k"))
+    told = F.when(F.col("m").isNull() | F.col("k").isNull(), F.raise_error(F.lit("the glossary is no JSON object")).cast("map<string,string>")).otherwise(F.col("m"))
+    return raw.select(F.posexplode(F.map_entries(told)).alias("position", "e")).select("position", F.col("e.key").alias("term"), F.col("e.value").alias("translation"))
 
 
 def suspicious(value: Column) -> Column:
@@ -57,26 +54,40 @@ def pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iuU)\b"), F.regexp_replace(term, r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"\b"))
 
 
+def _fold(x: Column) -> Column:
+    return F.lower(F.upper(x))
+
+
 def matches(chunk_rows: DataFrame, glossary: DataFrame, key: list[str], text: str = "chunk_text") -> DataFrame:
     """``key`` and ``terms``: the terms that stand in the text as whole words, in glossary order.
 
-    Terms are found by their first word: an equality join between the distinct words of
-    each text and the first words of terms, verified by the pattern.  Terms without a
-    word at their start are few by nature; they are joined by a broadcast while they
-    are under SMALL, and otherwise by Spark's choice.
+    A word of a term is a whole word wherever the term stands, and a term without any
+    is all that stands between two words there.  So terms are found by equality, of their
+    longest word or of all they are, with the distinct words of each text and what stands
+    between them; only keys and words take part in that join.  A term of one word is then
+    tried against that word; others are tried against the text, which is fetched by its key
+    for what is left alone.
     """
-    rows = glossary.withColumn("first", F.lower(F.regexp_extract("term", r"(?U)^(\w+)", 1))).withColumn("pattern", pattern(F.col("term")))
+    words = F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    rows = glossary.select("position", "term", "translation", pattern(F.col("term")).alias("pattern"), F.when(F.size(words) > 0, longest).otherwise(F.col("term")).alias("word"))
+    rows = rows.withColumn("piece", _fold(F.col("word"))).withColumn("alone", (F.col("word") == F.col("term")) & (F.size(words) > 0)).drop("word")
     texts = chunk_rows.select(*key, F.col(text).alias("__text"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    by_word = texts.select(*key, "__text", F.explode(words).alias("first")).join(rows.filter("first <> ''"), "first").filter(F.expr("regexp_like(__text, pattern)"))
-    odd = rows.filter("first = ''")
-    if odd.limit(SMALL + 1).count() <= SMALL:
-        odd = F.broadcast(odd)
-    by_text = texts.join(odd, F.expr("regexp_like(__text, pattern)"))
-    found = by_word.select(*key, "position", "term", "translation").unionByName(by_text.select(*key, "position", "term", "translation"))
+    pieces = F.array_distinct(F.regexp_extract_all("__text", F.lit(r"(?U)\w+|\W+"), F.lit(0)))
+    met = texts.select(*key, F.explode(pieces).alias("held")).withColumn("piece", _fold(F.col("held"))).join(rows, "piece")
+    columns = [*key, "position", "term", "translation"]
+    by_word = met.filter("alone").filter(F.expr("regexp_like(held, pattern)")).select(*columns)
+    by_text = met.filter("not alone").select(*columns, "pattern").distinct().join(texts, key).filter(F.expr("regexp_like(__text, pattern)")).select(*columns)
+    found = by_word.unionByName(by_text).distinct()
     terms = F.transform(F.array_sort(F.collect_list(F.struct("position", "term", "translation"))), lambda t: F.struct(t["term"].alias("term"), t["translation"].alias("translation")))
     return found.groupBy(*key).agg(terms.alias("terms"))
 
 
 def with_terms(chunk_rows: DataFrame, glossary: DataFrame, key: list[str]) -> DataFrame:
+    """``chunk_rows`` with ``terms``; null where none stands in the text, as with an empty glossary."""
     return chunk_rows.join(matches(chunk_rows, glossary, key), key, "left")
+
+
+def size(glossary: DataFrame) -> int:
+    """How many terms it has; a glossary of none is as good as no glossary."""
+    return glossary.count()

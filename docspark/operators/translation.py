@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docspark.functions.text import answer_parts, strip
 
 
-def translate(requests: DataFrame, factory: Callable, key: list[str]) -> DataFrame:
+def translate(requests: DataFrame, factory: Callable, key: list[str], terms: str | None = None) -> DataFrame:
     """``key`` and ``text, input_tokens, output_tokens, error`` of each request.
 
     ``factory()`` opens a translator once a task; it has ``translate(text, context)``,
-    which returns a text and two token counts, and ``close()``.  An exception becomes the
-    row's ``error``.
+    which returns a text and two token counts, and ``close()``.  Where ``terms`` names a
+    column of ``(term, translation)`` structs, the translator is called with a third
+    argument, their dictionary, or None where a request has none; requests whose context
+    tells the terms already need it not.  Texts come back without white space around
+    them.  An exception becomes the row's ``error``.
     """
-    kept = requests.select(*key, "request_text", "request_context")
+    kept = requests.select(*key, "request_text", "request_context", *([F.col(terms).alias("__terms")] if terms else []))
     kinds = dict(kept.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in key] + ["text string", "input_tokens int", "output_tokens int", "error string"])
 
@@ -26,9 +29,11 @@ def translate(requests: DataFrame, factory: Callable, key: list[str]) -> DataFra
         try:
             for batch in batches:
                 rows = []
-                for text, context in zip(batch["request_text"], batch["request_context"]):
+                told = [({t["term"]: t["translation"] for t in x} if x is not None and len(x) else None,) for x in batch["__terms"]] if terms else [()] * len(batch)
+                for text, context, more in zip(batch["request_text"], batch["request_context"], told):
                     try:
-                        rows.append((*client.translate(text, context), None))
+                        answer, n_in, n_out = client.translate(text, context, *more)
+                        rows.append((answer.strip(), n_in, n_out, None))
                     except Exception as e:  # an answer that fails is data: it fails its document
                         rows.append((None, None, None, str(e) or type(e).__name__))
                 out = pd.DataFrame(rows, columns=["text", "input_tokens", "output_tokens", "error"], index=batch.index)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docspark.operators import archive, chunking, files, glossary, jobs, layout, rebuild, translation
 from docspark.plans import translate
+from docspark.plans.scratch import settle, shared_dir
 from docspark.sources import epub, html, txt
 from docspark.streaming import ingest
 
@@ -75,7 +76,7 @@ def build_requests(spark, sf):
 def _raw_glossary(spark, sf):
     """Words of the benchmark as terms, in order, with control characters and repeats as they come."""
     rows = _table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("at", "term"))
-    return rows.select((F.col("item_id") * 1000 + F.col("at")).cast("int").alias("position"), "term", F.translate("term", "aeiou", "AEIOU").alias("translation")).filter("at < 4")
+    return rows.select((F.col("item_id") * 1000 + F.col("at")).cast("int").alias("position"), "term", F.translate("term", "aeiou", "AEIOU").alias("translation"))
 
 
 def glossary_clean(spark, sf):
@@ -83,11 +84,16 @@ def glossary_clean(spark, sf):
 
 
 def glossary_match(spark, sf):
-    terms = glossary.clean(_raw_glossary(spark, sf)).filter(r"term rlike '^[A-Za-z]+$'")
-    found = glossary.matches(_chunks(spark, sf), terms, translate.KEY)
+    found = glossary.matches(_chunks(spark, sf), glossary.clean(_raw_glossary(spark, sf)), translate.KEY)
     return found.select("doc_id", "chunk_index", F.size("terms").cast("long").alias("n_terms"), F.array_join(F.transform("terms", lambda t: t["term"]), ",").alias("terms"))
 
 
+def glossary_requests(spark, sf):
+    """Requests that tell the glossary's terms, and the system prompt that tells them instead."""
+    rows = translate.requests(_docs(spark, sf), glossary.clean(_raw_glossary(spark, sf)), BUDGET, TAIL)
+    return rows.select("doc_id", "chunk_index", "request_context", chunking.system_prompt(F.col("context"), F.col("terms")).alias("system_prompt"))
+
+
 def _answered(spark, sf):
     return translate.answers(translate.requests(_docs(spark, sf), None, BUDGET, TAIL), Stub)
 
@@ -178,18 +184,23 @@ def sanitize_names(spark, sf):
     return rows.select("page_id", files.safe_name(F.col("name")).alias("safe"))
 
 
-def _epubs(spark, sf):
-    """Archives packed from documents: a chapter for every four lines, in a folder, behind a navigation page."""
+def _epubs(spark, sf, damaged: bool = False):
+    """Archives packed from documents: a chapter for every four lines, in a folder, behind a navigation page.
+
+    With ``damaged`` every ninth is cut in half, and every ninth names a chapter that its manifest lacks.
+    """
 
     def run(batches):
         esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 lines = (text or "").split("\n")
                 groups = [lines[i : i + 4] for i in range(0, len(lines), 4)]
                 items = "".join(f'<item id="c{n}" href="c{n}.xhtml" media-type="application/xhtml+xml"/>' for n in range(len(groups)))
                 refs = "".join(f'<itemref idref="c{n}"/>' for n in range(len(groups)))
+                if damaged and doc_id % 9 == 1:
+                    refs += '<itemref idref="lost"/>'
                 box = io.BytesIO()
                 with zipfile.ZipFile(box, "w", zipfile.ZIP_STORED) as z:
                     z.writestr("mimetype", "application/epub+zip")
@@ -198,37 +209,45 @@ def _epubs(spark, sf):
                     z.writestr("OEBPS/nav.xhtml", "<p>contents</p>")
                     for n, g in enumerate(groups):
                         z.writestr(f"OEBPS/c{n}.xhtml", "<html><body>" + "".join(f"<p>{esc(x)}</p>" for x in g) + "</body></html>")
-                out.append(box.getvalue())
+                packed = box.getvalue()
+                out.append(packed[: len(packed) // 2] if damaged and doc_id % 9 == 0 else packed)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": out})
 
     return _table(spark, sf, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, content binary")
 
 
-def _epub_blocks(packed):
-    chapters = epub.chapters(epub.spine(packed), epub.entries(packed))
-    return chapters, html.blocks(chapters)
-
-
 def epub_blocks(spark, sf):
-    return _epub_blocks(_epubs(spark, sf))[1].select("doc_id", "chapter_index", "block_order", "type", "text")
+    return html.blocks(epub.chapters(epub.entries(_epubs(spark, sf)))).select("doc_id", "chapter_index", "block_order", "type", "text")
 
 
 def epub_roundtrip(spark, sf):
     """Archives with every chapter rendered anew, packed, and read once more."""
-    packed = _epubs(spark, sf)
-    chapters, blocks = _epub_blocks(packed)
-    blocks = blocks.withColumn("translated_text", F.translate("text", "aeiou", "AEIOU"))
-    merged, _ = epub.merge_entries(epub.entries(packed), epub.render_chapters(chapters, blocks))
-    again = epub.pack(merged).withColumnRenamed("output", "content")
-    return _epub_blocks(again)[1].select("doc_id", "chapter_index", "block_order", "type", "text")
+    opened = settle(epub.entries(_epubs(spark, sf)), "epub-entries")
+    chapters = epub.chapters(opened)
+    blocks = html.blocks(chapters).withColumn("translated_text", F.translate("text", "aeiou", "AEIOU"))
+    merged, _ = epub.merge_entries(opened, epub.render_chapters(chapters, blocks))
+    again = epub.entries(epub.pack(merged).withColumnRenamed("output", "content"))
+    return html.blocks(epub.chapters(again)).select("doc_id", "chapter_index", "block_order", "type", "text")
 
 
 def epub_missing(spark, sf):
     """Rendered names that the archive lacks: here chapters numbered one higher."""
-    packed = _epubs(spark, sf)
-    chapters, _ = _epub_blocks(packed)
-    shifted = chapters.select("doc_id", F.concat(F.lit("OEBPS/c"), (F.col("chapter_index") + 1).cast("string"), F.lit(".xhtml")).alias("name"), F.lit(b"").alias("rendered"))
-    return epub.merge_entries(epub.entries(packed), shifted)[1].select("doc_id", F.array_join("missing", ",").alias("missing"))
+    opened = settle(epub.entries(_epubs(spark, sf)), "epub-entries")
+    shifted = epub.chapters(opened).select("doc_id", F.concat(F.lit("OEBPS/c"), (F.col("chapter_index") + 1).cast("string"), F.lit(".xhtml")).alias("name"), F.lit(b"").alias("rendered"))
+    return epub.merge_entries(opened, shifted)[1].select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+def epub_failed(spark, sf):
+    """Archives that cannot be read, and why; some are damaged here."""
+    return epub.failed(epub.entries(_epubs(spark, sf, damaged=True)))
+
+
+def epub_translated(spark, sf):
+    """Books translated whole, a chapter a chunk, and read once more; damaged ones and those with a chunk that fails have an error only."""
+    done = settle(translate.translated_epubs(_epubs(spark, sf, damaged=True), Stub, None, 1_000_000, TAIL), "epub-translated")
+    again = html.blocks(epub.chapters(epub.entries(done.filter("output is not null").select("doc_id", F.col("output").alias("content")))))
+    texts = again.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "block_order", "text"))), lambda b: b["text"]), "\n").alias("text"))
+    return done.drop("output").join(texts, "doc_id", "left").select("doc_id", "status", "error_message", "text")
 
 
 def _events(spark, sf):
@@ -247,9 +266,7 @@ def job_progress(spark, sf):
 
 def ingest_once(spark, sf):
     """Events through a file stream, each file once, then the states of the jobs."""
-    from docspark.plans.scratch import shared_dir
-
-    base = f"{shared_dir(spark).rstrip('/')}/ingest-{next(tempfile._get_candidate_names())}"
+    base = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     _events(spark, sf).write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
 
@@ -275,14 +292,15 @@ _REQUEST = f"""{_PACKED},
 r AS (SELECT doc_id, chunk_index, chunk_text AS request_text, nullif(concat_ws(E'\\n\\n', CASE WHEN n_blocks > 1 THEN replace('{chunking.STRUCTURE}', '%1$d', n_blocks::VARCHAR) END, CASE WHEN context <> '' THEN replace('{chunking.PREVIOUS}', '%s', context) END), '') AS request_context FROM k)"""
 _ANSWERED = f"""{_PACKED},
 a AS (SELECT *, CASE WHEN starts_with(chunk_text, 'Th') AND length(chunk_text) % 7 = 3 THEN 'refused ' || length(chunk_text) END AS error,
-  CASE WHEN NOT (starts_with(chunk_text, 'Th') AND length(chunk_text) % 7 = 3) THEN CASE WHEN length(chunk_text) % 5 = 0 AND contains(chunk_text, E'\\n\\n') THEN regexp_replace(translate(chunk_text, 'aeiou', 'AEIOU'), '\\n\\n', ' ') ELSE translate(chunk_text, 'aeiou', 'AEIOU') END END AS answer FROM k),
-s AS (SELECT *, list_transform(string_split_regex(trim(answer, {_WS}), '\\n\\s*\\n'), lambda x: trim(x, {_WS})) AS parts FROM a),
+  CASE WHEN NOT (starts_with(chunk_text, 'Th') AND length(chunk_text) % 7 = 3) THEN CASE WHEN length(chunk_text) % 5 = 0 AND contains(chunk_text, E'\\n\\n') THEN regexp_replace(translate(chunk_text, 'aeiou', 'AEIOU'), '\\n\\n', ' ') ELSE translate(chunk_text, 'aeiou', 'AEIOU') END END AS raw_answer FROM k),
+t1 AS (SELECT *, trim(raw_answer, {_WS}) AS answer FROM a),
+s AS (SELECT *, list_transform(string_split_regex(trim(answer, {_WS}), '\\n\\s*\\n'), lambda x: trim(x, {_WS})) AS parts FROM t1),
 f AS (SELECT doc_id, arg_min(error, chunk_seq) FILTER (error IS NOT NULL) AS error_message, min(chunk_seq) FILTER (error IS NOT NULL) AS failed_seq FROM s GROUP BY 1 HAVING count(error) > 0),
 o AS (SELECT doc_id, first + i AS block_order, CASE WHEN n_blocks = 1 THEN answer WHEN len(parts) = n_blocks THEN parts[i + 1] WHEN i = 0 THEN trim(answer, {_WS}) ELSE '' END AS translated_text
   FROM (SELECT *, unnest(range(0, n_blocks)) AS i FROM s WHERE error IS NULL))"""
 _GLOSSARY = r"""
 w AS (SELECT item_id, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark),
-g0 AS (SELECT item_id * 1000 + pos AS position, trim(regexp_replace(term, '[\x00-\x1f]+', ' ', 'g')) AS term, trim(regexp_replace(translate(term, 'aeiou', 'AEIOU'), '[\x00-\x1f]+', ' ', 'g')) AS translation FROM w WHERE pos < 4),
+g0 AS (SELECT item_id * 1000 + pos AS position, trim(regexp_replace(term, '[\x00-\x1f]+', ' ', 'g')) AS term, trim(regexp_replace(translate(term, 'aeiou', 'AEIOU'), '[\x00-\x1f]+', ' ', 'g')) AS translation FROM w),
 g AS (SELECT term, min(position)::INT AS position, arg_max(translation, position) AS translation FROM g0 WHERE term <> '' AND translation <> '' AND length(term) <= 100 GROUP BY 1)"""
 _SPANS = r"""
 raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS raw, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) - 1 AS line FROM documents),
@@ -311,9 +329,9 @@ SELECT doc_id, CAST((pos - 1) // 4 AS INT) AS chapter_index, pos AS line, trim(r
 QUERIES = {
     f.__name__: f
     for f in (
-        txt_blocks, block_tokens, pack_chunks, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, apply_translation, mismatch_stats,
+        txt_blocks, block_tokens, pack_chunks, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, glossary_requests, apply_translation, mismatch_stats,
         rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_body_size, pdf_blocks, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
-        sanitize_names, epub_blocks, epub_roundtrip, epub_missing, job_state, job_progress, ingest_once,
+        sanitize_names, epub_blocks, epub_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once,
     )
 }
 
@@ -328,13 +346,11 @@ SELECT doc_id, chapter_index, chunk_index::INT AS chunk_index, count(*) AS n_blo
     "chunk_text_context": f"{_PACKED} SELECT doc_id, chunk_index::INT AS chunk_index, n_blocks::INT AS n_blocks, est_tokens::INT AS est_tokens, est_tokens > {BUDGET} AS oversize, chunk_text, context, chunk_seq FROM k",
     "build_requests": f"{_REQUEST} SELECT doc_id, chunk_index::INT AS chunk_index, request_text, request_context, concat_ws(E'\\n\\n', '{chunking.SYSTEM}', CASE WHEN request_context <> '' THEN replace('{chunking.EXTRA}', '%s', request_context) END) AS system_prompt FROM r",
     "glossary_clean": f"WITH {_GLOSSARY} SELECT position, term, translation FROM g",
-    "glossary_match": f"""{_PACKED}, {_GLOSSARY}, q AS (SELECT DISTINCT doc_id, chunk_index, unnest(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM k)
-SELECT doc_id, chunk_index::INT AS chunk_index, count(*) AS n_terms, string_agg(term, ',' ORDER BY position) AS terms FROM q JOIN g ON lower(term) = word WHERE regexp_full_match(term, '[A-Za-z]+') GROUP BY ALL""",
     "apply_translation": f"{_ANSWERED} SELECT doc_id, block_order::INT AS block_order, 'p-' || block_order AS block_id, translated_text FROM o",
     "mismatch_stats": f"{_ANSWERED} SELECT doc_id, count(*) FILTER (n_blocks > 1 AND len(parts) <> n_blocks) AS mismatched, count(*) AS n_chunks FROM s WHERE error IS NULL GROUP BY 1",
     "rebuild_txt": f"""{_ANSWERED}, u AS (SELECT doc_id, string_agg(translated_text, E'\\n\\n' ORDER BY block_order) AS output FROM o GROUP BY 1)
 SELECT d.doc_id, CASE WHEN failed_seq IS NULL THEN coalesce(output, '') END AS output, CASE WHEN failed_seq IS NULL THEN 'completed' ELSE 'failed' END AS status, error_message FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN u USING (doc_id)""",
-    "usage_by_doc": f"{_ANSWERED} SELECT doc_id, sum(CASE WHEN error IS NULL THEN CAST(ceil(length(chunk_text) / 4.0) AS BIGINT) END)::BIGINT AS input_tokens, sum(CAST(ceil(length(answer) / 4.0) AS BIGINT))::BIGINT AS output_tokens FROM s GROUP BY 1",
+    "usage_by_doc": f"{_ANSWERED} SELECT doc_id, sum(CASE WHEN error IS NULL THEN CAST(ceil(length(chunk_text) / 4.0) AS BIGINT) END)::BIGINT AS input_tokens, sum(CAST(ceil(length(raw_answer) / 4.0) AS BIGINT))::BIGINT AS output_tokens FROM s GROUP BY 1",
     "failed_docs": f"{_ANSWERED} SELECT * FROM f",
     "progress_trail": f"""{_ANSWERED}, v AS (SELECT doc_id, chunk_seq, sum(n_blocks) OVER (PARTITION BY doc_id ORDER BY chunk_seq) AS done, sum(n_blocks) OVER (PARTITION BY doc_id) AS total FROM s)
 SELECT doc_id, 0::BIGINT AS step, 0::BIGINT AS translated_blocks, total::BIGINT AS total_blocks FROM v WHERE chunk_seq = 0
@@ -356,6 +372,15 @@ CASE WHEN page_id % 4 = 3 THEN 'extension' WHEN strlen(html) > 4000 THEN 'size'
     "epub_blocks": _EPUB.replace("{text}", "raw"),
     "epub_roundtrip": _EPUB.replace("{text}", "translate(raw, 'aeiou', 'AEIOU')"),
     "epub_missing": "SELECT doc_id, 'OEBPS/c' || CAST((len(string_split(coalesce(text, ''), E'\\n')) - 1) // 4 + 1 AS INT) || '.xhtml' AS missing FROM documents",
+    "epub_failed": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'File is not a zip file' ELSE 'spine item not in the manifest: lost' END AS error_message FROM documents WHERE doc_id % 9 IN (0, 1)",
+    "epub_translated": f"""WITH p AS ({_EPUB.replace("{text}", "raw")}),
+c AS (SELECT doc_id, chapter_index, count(*) AS n, string_agg(text, E'\\n\\n' ORDER BY block_order) AS t FROM p GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_index) AS seq, CASE WHEN starts_with(t, 'Th') AND length(t) % 7 = 3 THEN 'refused ' || length(t) END AS error,
+  CASE WHEN length(t) % 5 = 0 AND contains(t, E'\\n\\n') THEN regexp_replace(translate(t, 'aeiou', 'AEIOU'), '\\n\\n', ' ') ELSE translate(t, 'aeiou', 'AEIOU') END AS answer FROM c),
+e AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'File is not a zip file' WHEN doc_id % 9 = 1 THEN 'spine item not in the manifest: lost' ELSE arg_min(error, seq) FILTER (error IS NOT NULL) END AS error_message FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+b AS (SELECT doc_id, chapter_index, CASE WHEN n > 1 AND len(string_split(answer, E'\\n\\n')) <> n THEN regexp_replace(answer, '\\s+', ' ', 'g') ELSE replace(answer, E'\\n\\n', E'\\n') END AS text FROM s),
+o AS (SELECT doc_id, string_agg(text, E'\\n' ORDER BY chapter_index) AS text FROM b GROUP BY 1)
+SELECT doc_id, CASE WHEN error_message IS NULL THEN 'completed' ELSE 'failed' END AS status, error_message, CASE WHEN error_message IS NULL THEN text END AS text FROM e LEFT JOIN o USING (doc_id)""",
     "job_state": f"WITH {_JOBS} SELECT * FROM j",
     "job_progress": f"""WITH {_JOBS} SELECT job_id, status, translated_blocks, total_blocks, CASE WHEN status = 'failed' THEN error_message END AS error,
 CASE WHEN status = 'completed' THEN 100 WHEN coalesce(total_blocks, 0) = 0 THEN 0 ELSE least(99, floor(coalesce(translated_blocks, 0) / total_blocks::DOUBLE * 100)::INT) END AS percent,

@@ -1,19 +1,29 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written to it once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """``spark.checkpoint.dir``; a temporary folder only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so nothing computes it again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""End to end: a corpus of texts to requests, answers and rebuilt texts."""
+"""End to end: a corpus of texts or books to requests, answers and rebuilt documents."""
 
 from __future__ import annotations
 
@@ -7,26 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from docspark.operators import chunking, glossary as terms, rebuild, translation
-from docspark.sources import txt
+from docspark.plans.scratch import settle
+from docspark.sources import epub, html, txt
 
 KEY = ["doc_id", "chapter_index", "chunk_index"]
 
 
-def requests(docs: DataFrame, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
+def block_requests(blocks: DataFrame, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
     """Every request of a corpus: contexts come from source texts, so none waits for another's answer."""
-    made = chunking.chunks(chunking.pack(txt.blocks(docs), max_tokens), max_tokens, context_chars)
+    made = chunking.chunks(chunking.pack(blocks, max_tokens), max_tokens, context_chars)
     return chunking.requests(terms.with_terms(made, glossary, KEY) if glossary is not None else made)
 
 
+def requests(docs: DataFrame, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
+    return block_requests(txt.blocks(docs), glossary, max_tokens, context_chars)
+
+
 def answers(request_rows: DataFrame, factory: Callable) -> DataFrame:
-    """Requests with their answers. Write this before anything reads it twice: a translator costs and need not repeat itself."""
+    """Requests with their answers, written once: a translator costs, and need not repeat itself."""
+    request_rows = settle(request_rows, "requests")
     even = request_rows.select(*KEY, "request_text", "request_context").repartition(F.xxhash64(*KEY))
-    given = translation.translate(even, factory, KEY).withColumnRenamed("text", "answer")
+    given = settle(translation.translate(even, factory, KEY), "answers").withColumnRenamed("text", "answer")
     return request_rows.join(given, KEY)
 
 
+def _told(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``(doc_id, output, status, error_message)``: a document that failed has no output."""
+    wrong = F.col("error_message").isNotNull()
+    return rows.join(bad, "doc_id", "left").select("doc_id", F.when(~wrong, F.col("output")).alias("output"), F.when(wrong, "failed").otherwise("completed").alias("status"), "error_message")
+
+
 def translated(docs: DataFrame, answered: DataFrame) -> DataFrame:
     """``(doc_id, output, status, error_message)`` of every document; one failing chunk fails its document whole."""
-    bad = translation.failed(answered)
-    out = rebuild.text(docs, translation.apply_answers(answered.join(bad, "doc_id", "left_anti")))
-    return out.join(bad, "doc_id", "left").select("doc_id", F.when(F.col("failed_seq").isNull(), F.col("output")).alias("output"), F.when(F.col("failed_seq").isNull(), "completed").otherwise("failed").alias("status"), "error_message")
+    bad = translation.failed(answered).select("doc_id", "error_message")
+    return _told(rebuild.text(docs, translation.apply_answers(answered.join(bad, "doc_id", "left_anti"))), bad)
+
+
+def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
+    """``(doc_id, output, status, error_message)`` of ``(doc_id, content)`` archives.
+
+    An archive that cannot be read, a chunk that fails or a chapter that cannot be
+    rendered fails its book whole and no other; nothing partial is given out.
+    """
+    opened = settle(epub.entries(files), "epub-entries")
+    chapter_rows = epub.chapters(opened)
+    answered = answers(block_requests(html.blocks(chapter_rows), glossary, max_tokens, context_chars), factory)
+    rendered = settle(epub.render_chapters(chapter_rows, translation.apply_answers(answered.filter("error is null"))), "epub-rendered")
+    merged, missing = epub.merge_entries(opened, rendered)
+    # of several errors the first kind counts: reading, translating, rendering
+    kinds = [
+        epub.failed(opened),
+        translation.failed(answered).select("doc_id", "error_message"),
+        rendered.filter("error is not null").groupBy("doc_id").agg(F.min_by("error", "name").alias("error_message")),
+        missing.select("doc_id", F.concat(F.lit("missing entries: "), F.array_join("missing", ", ")).alias("error_message")),
+    ]
+    every = kinds[0].withColumn("kind", F.lit(0))
+    for n, more in enumerate(kinds[1:], 1):
+        every = every.unionByName(more.withColumn("kind", F.lit(n)))
+    bad = settle(every.groupBy("doc_id").agg(F.min_by("error_message", "kind").alias("error_message")), "epub-failed")
+    packed = epub.pack(merged.join(bad, "doc_id", "left_anti"))
+    return _told(files.select("doc_id").join(packed, "doc_id", "left"), bad)

@@ -1,21 +1,28 @@
-"""EPUB archives as tables: entries, spine, chapters; and packed again."""
+"""EPUB archives as tables: entries, chapters, errors; and packed again."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from docspark.operators.archive import MAX_BYTES, MAX_ENTRIES, MAX_RATIO
 from docspark.sources.html import LeafParser
 
-ENTRIES = "doc_id long, entry_index int, name string, file_size long, compress_size long, content binary, error string"
-SPINE = "doc_id long, spine_pos int, idref string, entry_name string, media_type string, properties string, error string"
+ENTRIES = "doc_id long, entry_index int, name string, file_size long, compress_size long, content binary, chapters array<int>, error string"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.string()]
+_SHAPE = pa.schema([(f.split(" ")[0], k) for f, k in zip(ENTRIES.split(", "), _KINDS)])
+#: Bytes of unpacked entries that a worker hands on at once.
+BATCH_BYTES = 16 << 20
+#: What a damaged, encrypted or oddly packed archive raises.
+_BROKEN = (zipfile.BadZipFile, zlib.error, OSError, EOFError, KeyError, RuntimeError, NotImplementedError, UnicodeDecodeError, ValueError, ElementTree.ParseError)
 
 
 def _safe(archive: zipfile.ZipFile) -> str | None:
@@ -37,68 +44,77 @@ def _safe(archive: zipfile.ZipFile) -> str | None:
     return None
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """Entries of ``(doc_id, content)`` archives; a broken or unsafe archive gives one row with its error."""
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in ENTRIES.split(", ")]
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        wrong = _safe(archive)
-                        rows = [(doc_id, -1, None, None, None, None, wrong)] if wrong else [(doc_id, n, i.filename, i.file_size, i.compress_size, archive.read(i), None) for n, i in enumerate(archive.infolist())]
-                except (zipfile.BadZipFile, OSError, EOFError) as e:
-                    rows = [(doc_id, -1, None, None, None, None, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=names)
 
-    return files.select("doc_id", "content").mapInPandas(run, ENTRIES)
+def _reading_order(archive: zipfile.ZipFile) -> list[str]:
+    """Names of the content documents of the spine, but for the navigation, in order."""
+    box = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+    opf = next((x.get("full-path") for x in box.iter() if _local(x.tag) == "rootfile"), None)
+    if not opf:
+        raise ValueError("no rootfile")
+    package, folder = ElementTree.fromstring(archive.read(opf)), opf.rpartition("/")[0]
+    items = {x.get("id"): x for x in package.iter() if _local(x.tag) == "item"}
+    out, held = [], set(archive.namelist())
+    for ref in (x.get("idref") for x in package.iter() if _local(x.tag) == "itemref"):
+        item = items.get(ref)
+        if item is None:
+            raise ValueError(f"spine item not in the manifest: {ref}")
+        if item.get("media-type") != "application/xhtml+xml" or "nav" in (item.get("properties") or "").split():
+            continue
+        name = f"{folder}/{item.get('href')}" if folder else item.get("href")
+        if name not in held:
+            raise ValueError(f"chapter not in the archive: {name}")
+        out.append(name)
+    return out
+
+
+def _unpacked(doc_id: int, content: bytes | None) -> list[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+            if wrong := _safe(archive):
+                raise ValueError(wrong)
+            place: dict[str, list[int]] = {}
+            for n, name in enumerate(_reading_order(archive)):
+                place.setdefault(name, []).append(n)
+            return [(doc_id, n, i.filename, i.file_size, i.compress_size, archive.read(i), place.get(i.filename), None) for n, i in enumerate(archive.infolist())]
+    except _BROKEN as e:
+        return [(doc_id, -1, None, None, None, None, None, str(e.args[0] if isinstance(e, KeyError) and e.args else e) or type(e).__name__)]
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
+def entries(files: DataFrame) -> DataFrame:
+    """Entries of ``(doc_id, content)`` archives, each with the numbers of the chapters that it is; numbers have no gaps.
 
+    A broken or unsafe archive gives one row with its ``error`` and nothing else.
+    """
 
-def spine(packed: DataFrame) -> DataFrame:
-    """The spine of each archive, joined with its manifest; errors as rows."""
-
-    def of(doc_id, content) -> list[tuple]:
-        bad = lambda e: [(doc_id, -1, None, None, None, None, e)]
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                if wrong := _safe(archive):
-                    return bad(wrong)
-                box = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-                opf = next((x.get("full-path") for x in box.iter() if _local(x.tag) == "rootfile"), None)
-                if not opf:
-                    return bad("no rootfile")
-                package = ElementTree.fromstring(archive.read(opf))
-        except (zipfile.BadZipFile, KeyError, OSError, EOFError, ElementTree.ParseError) as e:
-            return bad(str(e) or type(e).__name__)
-        folder = opf.rpartition("/")[0]
-        items = {x.get("id"): x for x in package.iter() if _local(x.tag) == "item"}
-        rows = []
-        for n, ref in enumerate(x.get("idref") for x in package.iter() if _local(x.tag) == "itemref"):
-            item = items.get(ref)
-            if item is None:
-                return bad(f"spine item not in the manifest: {ref}")
-            rows.append((doc_id, n, ref, f"{folder}/{item.get('href')}" if folder else item.get("href"), item.get("media-type"), item.get("properties") or "", None))
-        return rows
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], schema=_SHAPE)
         for batch in batches:
-            rows = [r for d, c in zip(batch["doc_id"], batch["content"]) for r in of(d, c)]
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SPINE.split(", ")])
+            for doc_id, content in zip(batch.column("doc_id"), batch.column("content")):
+                new = _unpacked(doc_id.as_py(), content.as_py())
+                rows += new
+                size += sum(len(r[5] or b"") for r in new)
+                if size > BATCH_BYTES or len(rows) > 10_000:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return files.select("doc_id", "content").mapInArrow(run, ENTRIES)
 
-    return packed.select("doc_id", "content").mapInPandas(run, SPINE)
 
+def failed(entry_rows: DataFrame) -> DataFrame:
+    """``(doc_id, error_message)`` of the archives that could not be read."""
+    return entry_rows.filter("error is not null").select("doc_id", F.col("error").alias("error_message"))
 
-def chapters(spine_rows: DataFrame, entry_rows: DataFrame) -> DataFrame:
-    """``(doc_id, chapter_index, entry_name, html)``: content documents of the spine but the navigation, numbered without gaps."""
-    kept = spine_rows.filter("error is null and media_type = 'application/xhtml+xml' and not array_contains(split(properties, ' '), 'nav')")
-    numbered = kept.withColumn("chapter_index", (F.row_number().over(Window.partitionBy("doc_id").orderBy("spine_pos")) - 1).cast("int"))
-    texts = entry_rows.filter("error is null").select("doc_id", F.col("name").alias("entry_name"), F.col("content").cast("string").alias("html"))
-    return numbered.join(texts, ["doc_id", "entry_name"]).select("doc_id", "chapter_index", "entry_name", "html")
+
+def chapters(entry_rows: DataFrame) -> DataFrame:
+    """``(doc_id, chapter_index, entry_name, html)``: content documents of the spine but the navigation."""
+    rows = entry_rows.filter("error is null").select("doc_id", F.explode("chapters").alias("chapter_index"), F.col("name").alias("entry_name"), F.col("content").cast("string").alias("html"))
+    return rows
 
 
 class _Rewriter(LeafParser):
@@ -106,9 +122,14 @@ class _Rewriter(LeafParser):
 
     def __init__(self, html: str):
         super().__init__()
+        # the parser counts lines by this character alone
         self.lines = [0]
-        for line in html.splitlines(keepends=True):
-            self.lines.append(self.lines[-1] + len(line))
+        for line in html.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.feed(html)
+        self.close()
+        for node in self.stack:
+            node[4] = len(html)
 
     def at(self) -> int:
         row, column = self.getpos()
@@ -118,22 +139,17 @@ class _Rewriter(LeafParser):
         before = len(self.found)
         super().handle_starttag(tag, attrs)
         if len(self.found) > before:
-            self.found[-1] += [self.at() + len(self.get_starttag_text()), None]
+            self.found[-1][3] = self.at() + len(self.get_starttag_text())
 
-    def handle_endtag(self, tag):
-        open_ = list(self.stack)
-        super().handle_endtag(tag)
-        for node in open_[len(self.stack) :]:
-            if len(node) == 5 and node[4] is None:
-                node[4] = self.at()
+    def closed(self, node):
+        node[4] = self.at()
 
 
 def rendered(html: str, texts: list[str]) -> str:
-    """The chapter with the content of its n-th leaf tag replaced by the n-th text."""
-    parser = _Rewriter(html)
-    parser.feed(html)
-    parser.close()
-    leaves = [n for n in parser.found if n[2] and len(n) == 5 and n[4] is not None and "".join(n[1]).strip()]
+    """The chapter with the content of its n-th leaf tag replaced by the n-th text; texts must be as many as leaves."""
+    leaves = [n for n in _Rewriter(html).found if n[2] and "".join(n[1]).strip()]
+    if len(leaves) != len(texts):
+        raise ValueError(f"{len(texts)} texts for {len(leaves)} blocks")
     out, last = [], 0
     for node, text in zip(leaves, texts):
         escaped = re.sub(r"[&<>]", lambda m: {"&": "&amp;", "<": "&lt;", ">": "&gt;"}[m[0]], text)
@@ -143,25 +159,43 @@ def rendered(html: str, texts: list[str]) -> str:
 
 
 def render_chapters(chapter_rows: DataFrame, block_rows: DataFrame) -> DataFrame:
-    """``(doc_id, name, rendered)`` of chapters, from ``coalesce(translated_text, text)`` of their blocks."""
+    """``(doc_id, name, rendered, error)`` of chapters, from ``coalesce(translated_text, text)`` of their blocks.
+
+    Where blocks do not fit the chapter the row has an error and no bytes.
+    """
     texts = block_rows.groupBy("doc_id", "chapter_index").agg(F.array_sort(F.collect_list(F.struct("block_order", F.coalesce("translated_text", "text").alias("t")))).alias("b"))
     both = chapter_rows.join(texts, ["doc_id", "chapter_index"]).select("doc_id", F.col("entry_name").alias("name"), "html", F.transform("b", lambda x: x["t"]).alias("texts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "name": batch["name"], "rendered": [rendered(h, list(t)).encode() for h, t in zip(batch["html"], batch["texts"])]})
+            made, wrong = [], []
+            for html, texts in zip(batch.column("html"), batch.column("texts")):
+                try:
+                    made.append(rendered(html.as_py(), texts.as_py()).encode())
+                    wrong.append(None)
+                except ValueError as e:
+                    made.append(None)
+                    wrong.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(made, pa.binary()), pa.array(wrong, pa.string())], names=["doc_id", "name", "rendered", "error"])
 
-    return both.mapInPandas(run, "doc_id long, name string, rendered binary")
+    return both.mapInArrow(run, "doc_id long, name string, rendered binary, error string")
 
 
 def merge_entries(entry_rows: DataFrame, rendered_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every original entry, replaced where rendered; and per document the sorted rendered names that the archive lacks."""
     names = entry_rows.filter("error is null").select("doc_id", "entry_index", "name", "content")
-    merged = names.join(rendered_rows, ["doc_id", "name"], "left").select("doc_id", "entry_index", "name", F.coalesce("rendered", "content").alias("content"))
+    merged = names.join(rendered_rows.select("doc_id", "name", "rendered"), ["doc_id", "name"], "left").select("doc_id", "entry_index", "name", F.coalesce("rendered", "content").alias("content"))
     missing = rendered_rows.join(names, ["doc_id", "name"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("missing"))
     return merged, missing
 
 
+def _packing(name: str, content: bytes) -> int:
+    """Stored where asked for, and where deflating would reach the ratio that readers take for a bomb."""
+    if name == "mimetype" or len(content) > MAX_RATIO * len(zlib.compress(content)):
+        return zipfile.ZIP_STORED
+    return zipfile.ZIP_DEFLATED
+
+
 def pack(merged: DataFrame) -> DataFrame:
     """``(doc_id, output)``: archives in entry order, ``mimetype`` stored, the rest deflated."""
 
@@ -169,8 +203,7 @@ def pack(merged: DataFrame) -> DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as archive:
             for r in group.sort_values("entry_index").itertuples(index=False):
-                info = zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0))
-                archive.writestr(info, r.content, zipfile.ZIP_STORED if r.name == "mimetype" else zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0)), r.content, _packing(r.name, r.content))
         return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "output": [out.getvalue()]})
 
     return merged.groupBy("doc_id").applyInPandas(run, "doc_id long, output binary")

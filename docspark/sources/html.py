@@ -22,7 +22,7 @@ class LeafParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # tag, pieces, is a leaf
+        self.stack: list[list] = []  # tag, pieces, is a leaf, and for rewriting where its content starts and ends
         self.found: list[list] = []
         self.hidden = 0
 
@@ -32,8 +32,8 @@ class LeafParser(HTMLParser):
         if tag in _VOID:
             return
         if self.stack and self.stack[-1][0] in _CLOSES.get(tag, ()):
-            self.stack.pop()
-        node = [tag, [], True]
+            self.closed(self.stack.pop())
+        node = [tag, [], True, None, None]
         if tag in _TEXT:
             for open_ in self.stack:
                 open_[2] = False
@@ -50,9 +50,14 @@ class LeafParser(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                for node in self.stack[i:]:
+                    self.closed(node)
                 del self.stack[i:]
                 return
 
+    def closed(self, node: list) -> None:
+        """Called when a tag ends, by an end tag, by its parent's or by one that cannot stand in it."""
+
     def handle_data(self, data):
         if not self.hidden:
             for node in self.stack:
@@ -66,7 +71,7 @@ def leaf_blocks(html: str) -> list[tuple[str, str]]:
     parser.feed(html)
     parser.close()
     out = []
-    for tag, pieces, leaf in parser.found:
+    for tag, pieces, leaf, *_ in parser.found:
         text = " ".join(re.split(r"\s+", "".join(pieces))).strip()
         if leaf and text:
             out.append(("heading" if tag in _HEADINGS else "list_item" if tag == "li" else "paragraph", text))

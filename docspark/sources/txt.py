@@ -11,33 +11,51 @@ from pyspark.sql.types import StringType
 from docspark.functions.text import paragraphs
 
 
-@F.pandas_udf(StringType())
-def _decode_other(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes that are no UTF-8: cp1252 if it can be, else Latin-1."""
+#: A text in which more of the characters are controls fits no encoding.
+MOST_CONTROLS = 0.2
+NO_ENCODING = "no encoding fits"
+# The bytes that ISO 8859-15 reads as letters and ISO 8859-1 as signs.
+_LETTERS_OF_15 = b"\xa6\xa8\xb4\xb8\xbc\xbd\xbe"
+
 
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        try:
-            return raw.decode("cp1252")
-        except UnicodeDecodeError:
-            return raw.decode("latin-1")
+def decode_other(raw: bytes) -> str | None:
+    """Bytes that are no UTF-8, as cp1252, ISO 8859-15 or ISO 8859-1; None if none fits.
 
+    cp1252 where all bytes have a meaning in it; else ISO 8859-15 where a byte that is a
+    letter only there stands beside a letter, ISO 8859-1 otherwise.
+    """
+    try:
+        text = raw.decode("cp1252")
+    except UnicodeDecodeError:
+        latin = raw.decode("iso8859_15")
+        inside = any(raw[i] in _LETTERS_OF_15 and (latin[i - 1 : i].isalpha() or latin[i + 1 : i + 2].isalpha()) for i in range(len(raw)))
+        text = latin if inside else raw.decode("iso8859_1")
+    controls = sum(c < " " and c not in "\t\n\r\f\v" or "\x7f" <= c < "\xa0" for c in text)
+    return None if controls > MOST_CONTROLS * len(text) else text
+
+
+@F.pandas_udf(StringType())
+def _decode_other(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in contents:
-        yield batch.map(one)
+        yield batch.map(lambda raw: None if raw is None else decode_other(raw))
 
 
-def decode(content: Column) -> Column:
-    """UTF-8 without its mark; only other rows reach the helper."""
+def decoded(content: Column) -> Column:
+    """``struct(text, error)``: UTF-8 without its mark; only other rows reach the helper."""
     plain = F.call_function("is_valid_utf8", content.cast("string"))
     text = F.when(plain, content.cast("string")).otherwise(_decode_other(F.when(~plain, content)))
-    return F.regexp_replace(text, "^﻿", "")
+    error = F.when(content.isNotNull() & text.isNull(), NO_ENCODING)
+    return F.struct(F.regexp_replace(text, "^﻿", "").alias("text"), error.alias("error"))
+
+
+def decode(content: Column) -> Column:
+    return decoded(content)["text"]
 
 
 def read_files(spark, path: str, glob: str = "*.txt") -> DataFrame:
-    """``(path, length, text)`` of the files under a folder."""
+    """``(path, length, text, error)`` of the files under a folder; a file that no encoding fits has an error and no text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length", decode(F.col("content")).alias("text"))
+    return files.select("path", "length", decoded(F.col("content")).alias("d")).select("path", "length", "d.text", "d.error")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
