@@ -18,7 +18,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Words that a worker remembers at most, between batches.
@@ -80,32 +79,20 @@ class Coder:
         self.pieces = {i: token for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        for word in words:
-            ids = merge_word(word.encode(), self.ranks)
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-
     def encode(self, text: str | None) -> bytes:
         """Ids packed as little-endian unsigned 32-bit integers."""
         words = self.words(text or "")
-        known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([self.known[w] for w in words])
         except KeyError:
-            self.learn({w for w in words if w not in known})
-            known = self.known
-            # a single text with more distinct words than the cache holds still resolves: learn() only empties before it adds
-            missing = {w for w in words if w not in known}
-            if missing:
-                self.learn_more(missing)
-            return b"".join([known[w] for w in words])
-
-    def learn_more(self, words: set[str]) -> None:
-        for word in words:
-            ids = merge_word(word.encode(), self.ranks)
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+            new = {w for w in words if w not in self.known}
+            if len(self.known) + len(new) > CACHE_WORDS:
+                # a text with more distinct words than are remembered still has all of them at hand
+                self.known, new = {}, set(words)
+            for word in new:
+                ids = merge_word(word.encode(), self.ranks)
+                self.known[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+            return b"".join([self.known[w] for w in words])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join([self.pieces[i] for i in memoryview(packed).cast("I")])
@@ -121,14 +108,17 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...]
     shipped = spark.sparkContext.broadcast(read_ranks(rank_file))
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         coder = Coder(shipped.value, pattern)
         for batch in batches:
-            ids = [coder.encode(t) for t in batch.pop("__text")]
-            yield batch.assign(ids=ids, decoded=[coder.decode(x) for x in ids])
+            ids = [coder.encode(t.as_py()) for t in batch.column("__text")]
+            decoded = pa.array([coder.decode(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(ids, pa.binary()), decoded], names=[*keep, "ids", "decoded"])
 
     chosen = docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -141,19 +131,21 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     shipped = spark.sparkContext.broadcast(read_ranks(rank_file))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         coder = Coder(shipped.value, pattern)
         for batch in batches:
             rows = []
-            for text in batch["__text"]:
-                ids = coder.encode(text)
+            for text in batch.column("__text"):
+                ids = coder.encode(text.as_py())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].values)
-            yield out
+            n, of_ids, of_text = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=schema.names)
 
+    # ids stay in their Arrow column, so none passes through a float beside a null
     chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ At scale
     not depend on how Spark split the work.
   * Equal blocks meet only after being gathered per ``(block, salt)``, so a block
     that a third of all rows share is spread over ``salts`` tasks and arrives in
-    the naming sort as ``salts`` rows.
+    the naming sort as ``salts`` rows; salts follow rows, so ids that repeat or are
+    missing do not bring rows together.
   * Only DataFrame operations run here; each level is settled in a table in the
     shared folder, and levels after the first move integers alone.
 
@@ -51,16 +52,17 @@ def first_names(docs: DataFrame, block_bytes: int, salts: int, buckets: int) ->
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(block_bytes)).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * block_bytes + 1, F.lit(block_bytes)))
     rows = (
-        docs.select("doc_id", normalised(F.col("text")).alias("text"))
-        .select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("sha"), F.posexplode(cut).alias("pos", "block"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        docs.select("doc_id", normalised(F.col("text")).alias("text"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("sha"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"), F.posexplode(cut).alias("pos", "block"))
     )
     gathered = rows.groupBy("block", "salt").agg(F.collect_list(F.struct("doc_id", "sha", "pos")).alias("at"))
     named = _named(gathered, F.col("block"), buckets).select("name", F.explode("at").alias("at"))
+    # rows equal in id and text are counted before anything is gathered by them
+    counted = named.groupBy("at.doc_id", "at.sha", "at.pos", "name").agg(F.count("*").cast("int").alias("n"))
     return (
-        named.groupBy("at.doc_id", "at.sha")
-        .agg(F.array_sort(F.collect_list(F.struct("at.pos", "name"))).alias("all"))
-        .select("doc_id", "sha", F.size(F.filter("all", lambda x: x["pos"] == 0)).alias("copies"), F.transform(F.array_distinct("all"), lambda x: x["name"]).alias("names"))
+        counted.groupBy("doc_id", "sha")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "n"))).alias("all"))
+        .select("doc_id", "sha", F.col("all")[0]["n"].alias("copies"), F.transform("all", lambda x: x["name"]).alias("names"))
     )
 
 
@@ -99,7 +101,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``."""
+    """``(doc_id, keep_id, group_size, kept, text_sha256, copies)`` for every row of ``docs``.
+
+    ``copies`` counts the rows that are equal to it in id and text, itself included.
+    """
     named = settle(identities(docs.select("doc_id", "text"), block_bytes), "identities")
     # a struct orders null ids last and ties by digest, so exactly one row of a group is first
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("first")
@@ -113,12 +118,13 @@ def duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             "group_size",
             (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == 1)).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"),
+            "copies",
         )
     )
 
 
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
 
 
 ORACLE = r"""

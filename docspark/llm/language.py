@@ -2,15 +2,17 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled
 text.  A text is parsed against it into longest phrases that occur in the sample;
-the language whose sample needs the fewest phrases per letter wins.
+the language whose sample needs the fewest wins, phrases being weighed by the logarithm
+of the sample's length: a longer sample holds longer phrases for that alone.
 
 The automata are dense transition tables, in which a missing transition names the
-state where the next phrase starts.  Texts are cut into rows of ``ROW`` symbols
-and all rows of a batch take a step at once, so a very long text costs no more
-steps than a short one and memory stays bounded; every row opens one phrase, in
-all languages alike.  The plan is one narrow pass over the texts; the sample
-(``SAMPLE_DOCS`` documents a language, about, ``SAMPLE_CHARS`` characters a
-language at most) is all that reaches the driver.
+state where the next phrase starts.  All texts of a batch take a step at once; the few
+that are much longer than the others go on one by one, so every text is parsed whole and
+costs in proportion to its length.  The plan is one narrow pass over the texts; the
+sample is all that reaches the driver: of the ``LANGUAGES`` most frequent labels
+``SAMPLE_DOCS`` documents each, about, of ``SAMPLE_CHARS`` characters at most, and
+``ALL_CHARS`` of all together, which bounds the tables (under 300 MB, 60 MB for four
+languages).
 
 Defined results: null text or no letter gives ``und`` with score 0; ties go to the
 first language in code-point order; without labelled text every text is ``und``;
@@ -29,10 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: Bounds of the training sample, for each language.
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 30_000
+ALL_CHARS = 500_000
 DOC_CHARS = 3_000
-#: Letters with a symbol of their own, the most frequent of the sample; all others share one.
+LANGUAGES = 200
+#: Letters with a symbol of their own, the most frequent of the sample; others share these by their code point.
 LETTERS = 62
-ROW = 2048
+#: Texts that take their steps together at least; fewer go on one by one.
+TOGETHER = 24
+#: Texts that stand in a worker's memory at once.
+TEXTS = 2_048
 
 
 def fold(number: str = "doc_id"):
@@ -42,21 +49,26 @@ def fold(number: str = "doc_id"):
 def training_sample(docs: DataFrame) -> dict[str, str]:
     """Text by language: documents outside the held-out fold, those of least hash, cut to the bounds above."""
     known = docs.filter((fold() != 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
     at = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) / F.lit(1e6)
     chosen = known.select("lang", F.substring("text", 1, DOC_CHARS).alias("text"), at.alias("at")).filter(F.col("at") < share[F.col("lang")])
-    rows = chosen.orderBy("at", "lang", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect()
+    rows = chosen.orderBy("at", "lang", "text").limit(4 * SAMPLE_DOCS * len(counts)).toLocalIterator()
+    most = min(SAMPLE_CHARS, ALL_CHARS // len(counts))
     out: dict[str, str] = {}
     for r in rows:
-        out[r["lang"]] = (out.get(r["lang"], "") + "\n" + r["text"])[:SAMPLE_CHARS]
+        out[r["lang"]] = (out.get(r["lang"], "") + "\n" + r["text"])[:most]
     return out
 
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols``; ``~s`` stands for "phrase ends, go on in state s"."""
+    """Transitions of the suffix automaton of ``symbols``; ``~s`` stands for "a phrase begins, go on in state s".
+
+    In the last state no phrase is open: texts begin there, and a symbol that the sample lacks leads there.
+    """
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -83,11 +95,12 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(step), size), -1, dtype=np.int32)
+    table = np.full((len(step) + 1, size), -1, dtype=np.int32)
     for s, moves in enumerate(step):
         for c, t in moves.items():
             table[s, c] = t
-    return np.where(table < 0, ~np.maximum(table[0], 0)[None, :], table)
+    first = np.where(table[0] < 0, len(step), table[0])
+    return np.where(table < 0, ~first[None, :], table)
 
 
 class Parser:
@@ -95,18 +108,23 @@ class Parser:
 
     def __init__(self, sample: dict[str, str]):
         self.languages = sorted(sample)
-        text = "".join(sample.values()).lower()
-        counts = pd.Series([c for c in text if c.isalpha()], dtype=object).value_counts()
-        letters = sorted(counts.index, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.symbol = np.array([chr(c).isalpha() for c in range(0x110000)], dtype=np.uint8)
+        shares: dict[str, float] = {}
+        for text in sample.values():
+            found = pd.Series([c for c in text.lower() if c.isalpha()], dtype=object).value_counts(normalize=True)
+            for c, n in found.items():
+                shares[c] = shares.get(c, 0.0) + n
+        letters = sorted(shares, key=lambda c: (-shares[c], c))[:LETTERS]
+        self.symbol = np.array([(2 + c * 2654435761 % 2**32 % max(1, len(letters))) * chr(c).isalpha() for c in range(0x110000)], dtype=np.uint8)
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = 2 + i
         self.size = 2 + len(letters)
-        tables = [automaton(self.symbols(sample[k]).tolist(), self.size) for k in self.languages]
+        ids = [self.symbols(sample[k]) for k in self.languages]
+        self.weight = np.log2(np.array([max(2, len(x)) for x in ids], dtype=float))
+        tables = [automaton(x.tolist(), self.size) for x in ids]
         starts = np.cumsum([0, *[len(t) for t in tables]])[:-1].astype(np.int32)
         # one table for all languages: states are shifted, a restart keeps its sign
         self.table = np.concatenate([np.where(t >= 0, t + s, t - s) for t, s in zip(tables, starts)]).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
-        self.starts = starts
+        self.starts = starts + np.array([len(t) - 1 for t in tables], dtype=np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text: letters without case, any run of other characters as one 0."""
@@ -120,40 +138,46 @@ class Parser:
         """Phrases by text and language, and symbols by text (0 where it has no letter)."""
         ids = [self.symbols(t) for t in texts]
         lengths = np.array([len(x) if x.any() else 0 for x in ids], dtype=np.int64)
-        rows, owner = [], []
-        for i, x in enumerate(ids):
-            if lengths[i]:
-                for at in range(0, len(x), ROW):
-                    rows.append(x[at : at + ROW])
-                    owner.append(i)
+        order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[order]
+        order, sizes = order[sizes > 0], sizes[sizes > 0]
         found = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        order = np.argsort([-len(r) for r in rows], kind="stable")
-        for part in range(0, len(order), 4096):
-            at = order[part : part + 4096]
-            sizes = np.array([len(rows[i]) for i in at])
-            flat = np.zeros((sizes[0], len(at)), dtype=np.int32)
-            for j, i in enumerate(at):
-                flat[: sizes[j], j] = rows[i]
-            state = np.repeat(self.starts[:, None], len(at), axis=1)
-            ended = np.ones((len(self.languages), len(at)), dtype=np.int64)
-            live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-            for k in range(sizes[0]):
-                n = live[k]
-                now = self.table.take(state[:, :n] * self.size + flat[k, :n])
-                sign = now >> 31
-                ended[:, :n] -= sign
-                state[:, :n] = now ^ sign
-            np.add.at(found, np.array([owner[i] for i in at]), ended.T)
+        if not len(order):
+            return found, lengths
+        flat = np.concatenate([ids[i] for i in order]).astype(np.int32)
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        together = int(sizes[TOGETHER]) if len(sizes) > TOGETHER else 0
+        live = np.searchsorted(-sizes, -np.arange(1, together + 1), side="right")
+        state = np.repeat(self.starts[:, None], len(order), axis=1)
+        ended = np.zeros((len(self.languages), len(order)), dtype=np.int64)
+        for k in range(together):
+            n = live[k]
+            now = self.table.take(state[:, :n] * self.size + flat.take(begin[:n] + k))
+            sign = now >> 31
+            ended[:, :n] -= sign
+            state[:, :n] = now ^ sign
+        look, size = memoryview(self.table), self.size
+        for j in np.flatnonzero(sizes > together).tolist():
+            rest = flat[begin[j] + together : begin[j] + sizes[j]].tolist()
+            for m in range(len(self.languages)):
+                at, n = int(state[m, j]), 0
+                for c in rest:
+                    at = look[at * size + c]
+                    if at < 0:
+                        at, n = ~at, n + 1
+                ended[m, j] += n
+        found[order] = ended.T
         return found, lengths
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score (how much shorter than with the next language, 0 to 1) and phrases a symbol."""
+        """Language, score (how much shorter than with the next language, 0 to 1) and bits of phrases a symbol."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         found, lengths = self.phrases(texts)
+        found = found * self.weight
         best = found.argmin(axis=1)
         rank = np.sort(found, axis=1)
-        score = 1 - rank[:, 0] / np.maximum(rank[:, 1], 1) if len(self.languages) > 1 else np.ones(len(texts))
+        score = 1 - rank[:, 0] / np.maximum(rank[:, 1], 1e-9) if len(self.languages) > 1 else np.ones(len(texts))
         none = lengths == 0
         names = ["und" if z else self.languages[b] for z, b in zip(none, best)]
         return names, np.where(none, 0.0, score).tolist(), np.where(none, 1.0, rank[:, 0] / np.maximum(lengths, 1)).tolist()
@@ -168,12 +192,15 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: dict[
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            names, score, rate = parser.value.predict(batch.column("__text").to_pylist())
-            kept = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "phrase_rate"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                names, score, rate = parser.value.predict([t or "" for t in batch.column("text").to_pylist()])
+                kept = [batch.column(k) for k in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "phrase_rate"])
 
-    return docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
+    # a text that is kept goes to the worker once
+    return docs.select(*[F.col(f"`{k}`") for k in dict.fromkeys((*keep, "text"))]).mapInArrow(run, schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,21 @@
 A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk wherever it is
 0 modulo ``MEAN_LINES``, so equal passages are cut alike wherever they stand in a
 document.  A chunk of two lines or more that occurs again anywhere is removed, but
-for its first occurrence (least ``doc_id``, then position), after its bytes were
-compared with those of the first.
+for its first occurrence (least ``doc_id``, then text, then position), after its bytes
+were compared with those of the first.  From there the repeat is followed line by line
+to both sides, bytes compared, as far as no other chunk is compared itself: so what stands between the edge of a repeated passage and its first or last
+boundary goes too.
 
-At scale: chunk hashes are counted before texts move; only chunks whose hash occurs
-again are compared; every join is keyed by a hash or a document, and the row side
-of a frequent chunk may be split by Spark, the other side being one row per hash.
+At scale: hashes of chunks are counted before texts move; only documents with a chunk
+whose hash occurs again are opened for the comparison; every join is keyed by a hash or
+a document, and the row side of a frequent chunk may be split by Spark, the other side
+being one row per hash.
 
 Defined results: a null or empty text is one empty line and stays empty; a chunk
-that repeats within its document is removed there too; rows that repeat a
-``doc_id`` are decided together, so they keep what one row would keep; a null
-``doc_id`` sorts last; further columns are not read.
+that repeats within its document is removed there too; rows are told apart by
+``doc_id`` and text, so of rows that share an id, or have none, each loses only its own
+lines; rows equal in both are one document and keep the same lines; a null ``doc_id``
+sorts last; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docspark.llm.common import settle
+from docspark.llm.common import settle, text_bytes
 
-WINDOW = 3
-MEAN_LINES = 4
+WINDOW = 2
+MEAN_LINES = 2
 LEAST_LINES = 2
+KEY = ["doc_id", "digest"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,60 +39,88 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lines, ends)``: lines of each text and the number of each chunk's last line."""
+def _lines() -> Column:
+    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text_bytes("text"), F.octet_length(text_bytes("text"))).alias("digest"), "text")
+
+
+def _part(lines: Column, first: Column, end: Column) -> Column:
+    return F.slice(lines, first + 1, end - first)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``(doc_id, digest, pos, first, end, low, high, hash)`` of every chunk of two lines or more that is not blank.
+
+    Lines ``first:end`` are the chunk's.  A repeat need not be followed beyond lines ``low:high``: where it goes on
+    further, a chunk there is repeated itself.  What begins a passage may be cut in other ways than in other places, up to
+    ``WINDOW`` chunks of it, what ends it up to one.
+    """
 
     def ends(hashes: Column) -> Column:
         last = F.size(hashes) - 1
         rolled = lambda i: F.xxhash64(*[F.get(hashes, i - k) for k in range(WINDOW)])
         return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(MEAN_LINES)) == 0))
 
-    cut = _let(
-        F.split(F.coalesce("text", F.lit("")), "\n", -1),
-        lambda lines: F.struct(lines.alias("lines"), _let(F.transform(lines, lambda x: F.xxhash64(x)), ends).alias("ends")),
-    )
-    return docs.select("doc_id", cut.alias("cut")).select("doc_id", "cut.lines", "cut.ends")
+    def spans(ends_: Column) -> Column:
+        cut = F.transform(ends_, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(ends_, k - 1) + 1).alias("first"), (e + 1).alias("end")))
+        return F.filter(cut, lambda c: c["end"] - c["first"] >= LEAST_LINES)
 
+    def beside(own: Column, n: Column) -> Column:
+        return F.transform(own, lambda c, k: F.struct(c["first"].alias("first"), c["end"].alias("end"), F.coalesce(F.get(own, k - WINDOW)["first"], F.lit(0)).alias("low"), F.coalesce(F.get(own, k + 1)["end"], n).alias("high")))
 
-def _first_line(pos: Column) -> Column:
-    return F.when(pos == 0, F.lit(0)).otherwise(F.get("ends", pos - 1) + 1)
+    def hashed(lines: Column) -> Column:
+        own = _let(_let(F.transform(lines, lambda x: F.xxhash64(x)), ends), spans)
+        text = lambda c: F.array_join(_part(lines, c["first"], c["end"]), "\n")
+        made = F.transform(_let(own, lambda o: beside(o, F.size(lines))), lambda c: _let(text(c), lambda t: F.struct(c["first"].alias("first"), c["end"].alias("end"), c["low"].alias("low"), c["high"].alias("high"), F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(t, F.octet_length(t))).alias("hash"))))
+        return made
 
+    rows = _keyed(docs).select(*KEY, F.posexplode(_let(_lines(), hashed)).alias("pos", "c"))
+    return rows.select(*KEY, "pos", "c.*").filter("hash is not null")
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, chunk, hash)`` of every chunk of two lines or more."""
-    rows = chunked(docs).select("doc_id", "lines", "ends", F.posexplode("ends").alias("pos", "end")).withColumn("first", _first_line(F.col("pos")))
-    rows = rows.withColumn("n", F.col("end") - F.col("first") + 1).filter(F.col("n") >= LEAST_LINES)
-    rows = rows.select("doc_id", "pos", F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n").alias("chunk"))
-    return rows.filter(F.col("chunk").rlike(r"[^\x20\x09-\x0D]")).withColumn("hash", F.xxhash64("chunk", F.octet_length("chunk")))
+
+def _same(x: Column, y: Column) -> Column:
+    """How many lines of two arrays agree from the start on."""
+    n = F.least(F.size(x), F.size(y))
+    differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(x, i) != F.get(y, i)))
+    return F.get(differ, F.lit(0))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos)`` of the chunks to remove."""
-    rows = chunks(docs)
-    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos")
-    held = settle(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1"), "chunk-hashes")
-    again = settle(rows.join(held.hint("merge"), "hash").withColumn("is_first", F.col("first") == at).select("hash", "doc_id", "pos", "chunk", "is_first"), "chunks")
-    one = settle(again.filter("is_first").groupBy("hash").agg(F.min("chunk").alias("kept")), "first-chunks")
-    return again.filter("not is_first").join(one, "hash").filter(F.col("chunk").cast("binary") == F.col("kept").cast("binary")).select("doc_id", "pos")
+    """``(doc_id, digest, gone)``: of each document that loses any the numbers of its removed lines, in order."""
+    rows = settle(chunks(docs).distinct(), "chunk-hashes")
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), *KEY, "pos")
+    held = settle(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("of")).filter("n > 1"), "chunk-firsts")
+    again = rows.join(held.hint("merge"), "hash").select(*KEY, F.struct("hash", "first", "end", "low", "high", (F.col("of") == at).alias("is_first")).alias("c"))
+    marks = settle(again.groupBy(*KEY).agg(F.collect_list("c").alias("chunks")).withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}), "chunk-marks")
+    # rows equal in id and text are one document: one of them is opened
+    texts = _keyed(docs).join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select(*KEY, "chunks", "text")
+    opened = texts.select(*KEY, _lines().alias("lines"), F.explode("chunks").alias("c")).select(
+        *KEY, "c.hash", "c.is_first", "c.first", "c.end", _part(F.col("lines"), F.col("c.first"), F.col("c.end")).alias("own"),
+        F.reverse(_part(F.col("lines"), F.col("c.low"), F.col("c.first"))).alias("before"), _part(F.col("lines"), F.col("c.end"), F.col("c.high")).alias("after"),
+    )
+    opened = settle(opened, "chunks")
+    one = settle(opened.filter("is_first").groupBy("hash").agg(F.min(F.struct("own", "before", "after")).alias("kept")), "first-chunks")
+    same = opened.filter("not is_first").join(one, "hash").filter(F.col("own") == F.col("kept.own"))
+    low, high = F.col("first") - _same(F.col("before"), F.col("kept.before")), F.col("end") + _same(F.col("after"), F.col("kept.after"))
+    return same.select(*KEY, F.sequence(low, high - 1).alias("gone")).groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, removed_lines, removed, text)``: ``removed`` lists the removed lines as ``first:end``, end exclusive."""
-    gone = repeated(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnRenamed("doc_id", "__id")
-    rows = chunked(docs)
-    rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["__id"]), "left")
-    spans = F.transform(F.coalesce("gone", F.expr("cast(array() as array<int>)")), lambda p: F.struct(_first_line(p).alias("first"), (F.get("ends", p) + 1).alias("end")))
-    rows = rows.withColumn("spans", spans)
-    kept = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda p: F.when(~F.coalesce(F.array_contains("gone", p), F.lit(False)), F.array_join(F.slice("lines", _first_line(p) + 1, F.get("ends", p) + 1 - _first_line(p)), "\n"))),
-        lambda t: t.isNotNull(),
-    )
-    return rows.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"]).alias("removed_lines"),
-        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("removed"),
-        F.array_join(kept, "\n").alias("text"),
-    )
+    gone = settle(repeated(docs), "gone-lines").withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
+    rows = _keyed(docs).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    rows = rows.select("doc_id", _lines().alias("lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
+    n = F.size("gone")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    opens = F.filter(at, lambda k: (k == 0) | (F.get("gone", k) - F.get("gone", k - 1) > 1))
+    closes = F.filter(at, lambda k: (k == n - 1) | (F.get("gone", k + 1) - F.get("gone", k) > 1))
+    spans = F.transform(F.arrays_zip(opens.alias("o"), closes.alias("c")), lambda s: F.concat_ws(":", F.get("gone", s["o"]).cast("string"), (F.get("gone", s["c"]) + 1).cast("string")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(n == 0, F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i)))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), n.cast("long").alias("removed_lines"), F.array_join(spans, ",").alias("removed"), F.array_join(kept, "\n").alias("text"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ whether the document stays.
 
 The plan is one narrow pass over the texts.  What reaches the driver is the
 sample alone: line features of ``SAMPLE_DOCS`` labelled documents at most, of up to
-``SAMPLE_LINES`` lines each.  Lines take their document's label, as there are no
-labels of lines.
+``SAMPLE_LINES`` lines each.  Labelled lines are made of them: runs of lines of documents
+of quality 0 are set into documents of quality 1 at known borders, so the field learns
+when a document passes from content to boilerplate and back.
 
 Defined results: a null text has no words and fails the base rules; repeated rows
 repeat; labels of null, or of documents that are missing, teach nothing; without
@@ -99,44 +100,70 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[tuple[int, np.ndarray]], rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2 x FEATURES) and transitions (2 x 2) of greatest likelihood, by gradient steps over all sequences."""
+def spliced(docs: list[tuple[int, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences ``(labels, features)`` of lines: each document as it is, and each of quality 1 with a run of lines of one of quality 0 set in."""
+    r = np.random.default_rng(11)
+    good, bad = ([f for q, f in docs if q == k] for k in (1, 0))
+    out = [(np.full(len(f), q, dtype=np.int64), f) for q, f in docs]
+    for f in good if bad else []:
+        other = bad[int(r.integers(len(bad)))]
+        n = int(r.integers(1, len(other) + 1))
+        first, at = int(r.integers(len(other) - n + 1)), int(r.integers(len(f) + 1))
+        labels = np.ones(len(f) + n, dtype=np.int64)
+        labels[at : at + n] = 0
+        out.append((labels, np.concatenate([f[:at], other[first : first + n], f[at:]])))
+    return out
+
+
+def _ahead_and_back(e: np.ndarray, moves: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward log sums of padded sequences (n x length x 2), and the log sum over all paths of each."""
+    n, longest, _ = e.shape
+    ahead, back = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
+    ahead[0] = e[:, 0]
+    for t in range(1, longest):
+        ahead[t] = np.where(here[:, t, None], e[:, t] + _log_sum(ahead[t - 1][:, :, None] + moves, 1), ahead[t - 1])
+    for t in range(longest - 2, -1, -1):
+        back[t] = np.where(here[:, t + 1, None], _log_sum(moves[None] + (e[:, t + 1] + back[t + 1])[:, None, :], 2), back[t + 1])
+    return ahead, back, _log_sum(ahead[-1], 1)
+
+
+def padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and presence of the lines, sequences filled up to one length."""
+    n, longest = len(sequences), max(len(f) for _, f in sequences)
+    x, y, here = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), dtype=np.int64), np.zeros((n, longest), dtype=bool)
+    for i, (labels, f) in enumerate(sequences):
+        x[i, : len(f)], y[i, : len(f)], here[i, : len(f)] = f, labels, True
+    return x, y, here
+
+
+def expected(weights: np.ndarray, moves: np.ndarray, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Under the model: sums of features by state (2 x FEATURES), of moves (2 x 2), and the log sum of each sequence."""
+    e = x @ weights.T
+    ahead, back, whole = _ahead_and_back(e, moves, here)
+    p = np.exp(ahead + back - whole[None, :, None]) * here.T[..., None]
+    got_m = np.zeros_like(moves)
+    for t in range(1, x.shape[1]):
+        joint = ahead[t - 1][:, :, None] + moves + (e[:, t] + back[t])[:, None, :] - whole[:, None, None]
+        got_m += (np.exp(np.minimum(joint, 0)) * here[:, t, None, None]).sum(0)
+    return np.einsum("tnq,ntf->qf", p, x), got_m, whole
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (2 x FEATURES) and transitions (2 x 2) of greatest likelihood, by gradient steps over all sequences ``(labels, features)``."""
     weights, moves = np.zeros((2, FEATURES)), np.zeros((2, 2))
     if not sequences:
         weights[1, 0] = 1.0
         return weights, moves
-    n, longest = len(sequences), max(len(f) for _, f in sequences)
-    x = np.zeros((n, longest, FEATURES))
-    here = np.zeros((n, longest), dtype=bool)
-    y = np.array([q for q, _ in sequences])
-    for i, (_, f) in enumerate(sequences):
-        x[i, : len(f)], here[i, : len(f)] = f, True
-    both = here[:, 1:]
-    lines = here.sum()
-    balance = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
+    x, y, here = padded(sequences)
     gw, gm = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
-    want_f = np.zeros_like(weights)
-    want_m = np.zeros_like(moves)
+    want_f, want_m = np.zeros_like(weights), np.zeros_like(moves)
     for q in (0, 1):
-        of = (y == q)[:, None]
-        want_f[q] = (x * (here & of)[..., None] * balance[:, None, None]).sum((0, 1))
-        want_m[q, q] = ((both & of) * balance[:, None]).sum()
+        want_f[q] = x[here & (y == q)].sum(0)
+        for p in (0, 1):
+            want_m[p, q] = (here[:, 1:] & (y[:, :-1] == p) & (y[:, 1:] == q)).sum()
     for _ in range(rounds):
-        e = x @ weights.T
-        ahead, back = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        ahead[0] = e[:, 0]
-        for t in range(1, longest):
-            ahead[t] = np.where(here[:, t, None], e[:, t] + _log_sum(ahead[t - 1][:, :, None] + moves, 1), ahead[t - 1])
-        for t in range(longest - 2, -1, -1):
-            back[t] = np.where(here[:, t + 1, None], _log_sum(moves[None] + (e[:, t + 1] + back[t + 1])[:, None, :], 2), back[t + 1])
-        whole = _log_sum(ahead[-1], 1)
-        p = np.exp(ahead + back - whole[None, :, None]) * here.T[..., None] * balance[None, :, None]
-        got_f = np.einsum("tnq,ntf->qf", p, x)
-        got_m = np.zeros_like(moves)
-        for t in range(1, longest):
-            joint = ahead[t - 1][:, :, None] + moves + (e[:, t] + back[t])[:, None, :] - whole[:, None, None]
-            got_m += (np.exp(np.minimum(joint, 0)) * (here[:, t] * balance)[:, None, None]).sum(0)
-        dw, dm = (want_f - got_f) / lines - 1e-3 * weights, (want_m - got_m) / lines - 1e-3 * moves
+        got_f, got_m, _ = expected(weights, moves, x, here)
+        dw, dm = (want_f - got_f) / here.sum() - 1e-3 * weights, (want_m - got_m) / here.sum() - 1e-3 * moves
         gw += dw**2
         gm += dm**2
         weights += 0.3 * dw / np.sqrt(gw)
@@ -198,7 +225,7 @@ def training_lines(docs: DataFrame, labels: DataFrame) -> list[tuple[int, np.nda
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``content_share`` and ``kept`` of every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_lines(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(spliced(training_lines(docs, labels))))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
@@ -208,7 +235,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            rows = [measured(t, model.value) for t in batch.column("text").to_pylist()]
+            rows = [measured(t.as_py(), model.value) for t in batch.column("text")]
             columns = [pa.array([r[i] for r in rows], to_arrow_type(k)) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 

@@ -37,6 +37,8 @@ from docspark.llm.components import components
 SHINGLE = 3
 BITS = 3
 CROWD = 64
+#: Fingerprints that one task indexes, about.
+INDEX_ROWS = 16_384
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -109,7 +111,8 @@ def _pairs(rows: DataFrame, keys: list[str], side: str, bit: str, bits: int) ->
 def links(distinct: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     """All pairs ``(a, b)`` of distinct fingerprints that differ in at most ``bits`` bits."""
     keys = ["seg", "bit", "rest"]
-    rows = index(distinct)
+    # a fingerprint is 8 bytes but has 66 signatures: rows are dealt by their number, not by their bytes
+    rows = index(distinct.repartition(max(1, distinct.count() // INDEX_ROWS), "fp"))
     # a bucket is of use only if two fingerprints meet in it
     held = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 and (bit = -1 or lo <> hi)").drop("lo", "hi")
     held = settle(held, "held")

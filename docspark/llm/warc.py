@@ -13,7 +13,8 @@ shuffled, and the join back may be split by Spark where one payload is frequent.
 
 Defined results: null html is an empty payload, url null gives no target; rows that
 repeat the least ``page_id`` of a payload are all responses; a null ``page_id`` comes
-after all others and reads back as null; further columns are not read.
+after all others and reads back as null, other ids are whole numbers of 64 bits, each kept
+as it is; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docspark.llm.common import settle, text_bytes
 
 ARCHIVE_BYTES = 4 << 20
 STEP = 1 << 16
+#: Bytes that one step of unpacking gives at most.
+PIECE = 1 << 22
 #: Payloads of fewer bytes are always responses.
 LEAST_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
@@ -65,41 +67,60 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def members(content: bytes) -> Iterator[Iterator[bytes]]:
-    """The gzip members of an archive, each as the pieces of its data; a member must be read before the next."""
+    """The gzip members of an archive, each as the pieces of its data; a member must be read before the next.
+
+    A piece is ``PIECE`` bytes at most, however well the member is compressed.
+    """
     at = 0
     while at < len(content):
         unpack = zlib.decompressobj(31)
 
         def pieces(unpack=unpack) -> Iterator[bytes]:
             nonlocal at
+            rest = b""
             while not unpack.eof:
-                if at >= len(content):
+                if not rest and at < len(content):
+                    rest = content[at : at + STEP]
+                    at += len(rest)
+                ended = not rest
+                piece = unpack.decompress(rest, PIECE)
+                rest = unpack.unconsumed_tail
+                if ended and not piece and not unpack.eof:
                     raise ValueError("truncated gzip member")
-                step = content[at : at + STEP]
-                yield unpack.decompress(step)
-                at += len(step) - len(unpack.unused_data)
+                yield piece
+            at -= len(unpack.unused_data)
 
         yield pieces()
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record; wrong framing or digests raise."""
+    """Header fields (lower-case names) and block of each record; wrong framing or digests raise.
+
+    A member is unpacked no further than its content length allows.
+    """
     for pieces in members(content):
-        data = bytearray()
-        stop = -1
+        data, stop, size, fields = bytearray(), -1, 0, {}
         for piece in pieces:
             data += piece
             if stop < 0:
                 stop = data.find(b"\r\n\r\n")
-        if stop < 0 or not data.startswith(b"WARC/"):
+                if stop >= 0:
+                    if not data.startswith(b"WARC/"):
+                        raise ValueError("no WARC header")
+                    lines = (line.partition(":") for line in data[:stop].decode("utf-8", "replace").split("\r\n")[1:])
+                    fields = {k.strip().lower(): v.strip() for k, _, v in lines}
+                    if not fields.get("content-length", "").isdigit():
+                        raise ValueError("no content length")
+                    size = int(fields["content-length"])
+            if stop >= 0 and len(data) > stop + 8 + size:
+                raise ValueError("content length does not frame the record")
+        if stop < 0:
             raise ValueError("no WARC header")
-        fields = dict(line.split(": ", 1) for line in data[:stop].decode().split("\r\n")[1:])
-        fields = {k.lower(): v for k, v in fields.items()}
-        size = int(fields["content-length"])
         block = bytes(data[stop + 4 : stop + 4 + size])
         if len(block) != size or data[stop + 4 + size :] != b"\r\n\r\n":
             raise ValueError("content length does not frame the record")
-        if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
+        told = fields.get("warc-block-digest", "")
+        if told.lower().startswith("sha1:") and told[5:].upper() != digest(block):
             raise ValueError(f"block digest of {fields.get('warc-record-id')}")
         yield fields, block
 
@@ -116,33 +137,61 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 def archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives ``(name, content)`` of rows from ``with_revisits``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06}-{number:06}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["name", "content"])
+
         for batch in batches:
-            for page_id, url, payload, refers_to, revisit in zip(batch["page_id"].astype(object), batch["url"], batch["payload"], batch["refers_to"].astype(object), batch["revisit"]):
-                member = record(None if pd.isna(page_id) else int(page_id), url, payload, None if pd.isna(refers_to) else int(refers_to), bool(revisit))
+            for row in zip(*(batch.column(k) for k in ("page_id", "url", "payload", "refers_to", "revisit"))):
+                member = record(*(x.as_py() for x in row))
                 held.append(member)
                 size += len(member)
                 if size >= archive_bytes:
-                    yield pd.DataFrame({"name": [f"part-{part:06}-{number:06}.warc.gz"], "content": [b"".join(held)]})
+                    yield archive()
                     number, held, size = number + 1, [], 0
         if held:
-            yield pd.DataFrame({"name": [f"part-{part:06}-{number:06}.warc.gz"], "content": [b"".join(held)]})
+            yield archive()
 
-    return rows.select("page_id", "url", "payload", "refers_to", "revisit").mapInPandas(run, "name string, content binary")
+    return rows.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, "name string, content binary")
 
 
 def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of archives: ``(page_id, record_type, url, payload, payload_bytes, payload_digest, refers_to)``.
+    """Records of archives: ``(record_id, page_id, record_type, url, payload, payload_bytes, payload_digest, refers_to)``.
 
-    The length of a revisit's payload is that of its HTTP header; its own payload is null.
+    Any archive of one gzip member a record can be read: ``page_id`` and ``refers_to`` are
+    null for ids that ``record`` did not write.  The payload of an HTTP record is what
+    follows its header, of any other its whole block; a digest that is not told is taken
+    from the payload.  The length of a revisit's payload is that of its HTTP header, if it
+    has one; its own payload is null.
     """
-    number = lambda x: int(x[10:-1]) if x is not None and len(x) > 11 else None
-    schema = "page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+
+    def number(x: str | None) -> int | None:
+        found = x is not None and x.startswith("<urn:page:") and x[10:-1]
+        return int(found) if found and found.lstrip("-").isdigit() else None
+
+    schema = "record_id string, page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
+    def row(fields: dict[str, str], block: bytes) -> tuple:
+        revisit, name = fields.get("warc-type") == "revisit", fields.get("warc-record-id")
+        payload, size = block, None
+        if fields.get("content-type", "").lower().startswith("application/http"):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            told = [line[15:].strip() for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+            size = int(told[0]) if told and told[0].isdigit() else None
+        sha = fields.get("warc-payload-digest", "")
+        sha = sha[5:].upper() if sha.lower().startswith("sha1:") else None
+        if not revisit:
+            if sha not in (None, digest(payload)) or (sha is None and size not in (None, len(payload))):
+                raise ValueError(f"payload of {name}")
+            size, sha = len(payload), sha or digest(payload)
+        return name, number(name), fields.get("warc-type"), fields.get("warc-target-uri"), None if revisit or not with_payload else payload, size, sha, number(fields.get("warc-refers-to"))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -152,13 +201,7 @@ def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for fields, block in records(content.as_py()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(next(line[15:] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")))
-                    sha = fields["warc-payload-digest"].removeprefix("sha1:")
-                    revisit = fields["warc-type"] == "revisit"
-                    if not revisit and (len(payload) != size or digest(payload) != sha):
-                        raise ValueError(f"payload digest of {fields['warc-record-id']}")
-                    rows.append((number(fields["warc-record-id"]), fields["warc-type"], fields.get("warc-target-uri"), None if revisit or not with_payload else payload, size, sha, number(fields.get("warc-refers-to"))))
+                    rows.append(row(fields, block))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=shape)
                         rows = []
