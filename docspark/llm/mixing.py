@@ -15,7 +15,9 @@ At scale
     its own.
   * The join of slots and blocks is keyed by (source, block): even, whatever the
     sizes of sources and documents.
-  * Only one row per source reaches the driver (``MAX_SOURCES`` at most, else an error).
+  * Sources may be as many as documents: their numbers come from a range sort, their
+    targets from a few sums, and a shard draws first for groups of ``GROUP`` sources and
+    then within each; what reaches the driver is one number for each group.
 
 Defined results: a null text has size 0 and is never taken; null is a source of its
 own, last in order; repeated rows are separate documents; an empty table gives no
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docspark.llm.common import WORD, settle
@@ -38,7 +39,8 @@ SHARD_BLOCKS = 1 << 16
 WEIGHTS = (1, 2, 3)
 #: No document is taken more than this many times.
 REPEATS = 3
-MAX_SOURCES = 100_000
+#: Sources that are drawn for together.
+GROUP = 4096
 #: Slots that one task unfolds, about, and the most tasks that do so.
 TASK_SLOTS, MAX_TASKS = 1 << 18, 20_000
 SEED = 20
@@ -50,37 +52,49 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("digest"))
 
 
-def targets(sizes: list[int], weights: list[int]) -> list[float]:
-    """Shares of the total by weight; a source stops at REPEATS times its size and the rest is shared again."""
-    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = {i for i in open_ if unit * weights[i] > REPEATS * sizes[i]}
-        for i in full or open_:
-            out[i] = float(REPEATS * sizes[i]) if full else unit * weights[i]
-        left -= sum(REPEATS * sizes[i] for i in full)
-        open_ = open_ - full if full else set()
-    return out
+def numbered(found: DataFrame) -> DataFrame:
+    """Sources with their ``number`` in code-point order, null last: a range sort, then places within each range."""
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = F.col("source").isNotNull()
+    ranged = found.filter(known).repartitionByRange(parts, "source").withColumn("range", F.spark_partition_id())
+    ranged = settle(ranged.unionByName(found.filter(~known).withColumn("range", F.lit(parts))), "sources")
+    # of every range one number reaches the driver, and their running sums go back
+    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    starts, at = [], 0
+    for k in range(parts + 1):
+        starts.append((k, at))
+        at += counts.get(k, 0)
+    place = F.row_number().over(Window.partitionBy("range").orderBy("source")) - 1
+    starts = spark.createDataFrame(starts, "range int, before long")
+    return ranged.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("number", (F.col("place") + F.col("before")).cast("int")).drop("range", "place", "before")
 
 
 def source_table(rows: DataFrame) -> DataFrame:
-    """One row per source, in code-point order, null last: number, size, target, blocks and slots."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r["size"] for r in found]
-    goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    blocks = [-(-n // BLOCK_WORDS) for n in sizes]
-    columns = {
-        "source": pa.array([r["source"] for r in found], pa.string()),
-        "number": pa.array(range(len(found)), pa.int32()),
-        "source_size": pa.array(sizes, pa.int64()),
-        "target": pa.array(goal, pa.float64()),
-        "blocks": pa.array(blocks, pa.int64()),
-        "slots": pa.array([round(t * b / n) if n else 0 for t, b, n in zip(goal, blocks, sizes)], pa.int64()),
-        "buckets": pa.array([max(1, r["docs"] // BUCKET_ROWS) for r in found], pa.int64()),
-    }
-    return rows.sparkSession.createDataFrame(pa.table(columns))
+    """One row per source, in code-point order, null last: number, size, target, blocks and slots.
+
+    Shares are by weight; a source stops at ``REPEATS`` times its size and the rest is shared again.
+    """
+    found = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("number") % len(WEIGHTS) + 1)
+    found = settle(found.withColumn("weight", weight), "numbered-sources")
+    size, weight = F.col("source_size"), F.col("weight")
+    total = found.agg(F.sum("source_size")).first()[0] or 0
+    unit, stopped = 0.0, -1
+    while True:
+        # what a source of weight 1 gets; where that is too much for one it stops, and the others get more
+        full = F.lit(unit) * weight > REPEATS * size
+        now = found.agg(F.count_if(full).alias("stopped"), F.sum(F.when(full, size)).alias("size"), F.sum(F.when(~full, weight)).alias("weight")).first()
+        if now["stopped"] == stopped or not now["weight"]:
+            break
+        unit, stopped = (total - REPEATS * (now["size"] or 0)) / now["weight"], now["stopped"]
+    target = F.when(full, (REPEATS * size).cast("double")).otherwise(F.lit(unit) * weight)
+    blocks = F.ceil(size / BLOCK_WORDS)
+    table = found.select(
+        "source", "number", "source_size", target.alias("target"), blocks.alias("blocks"), F.when(size > 0, F.round(target * blocks / size)).otherwise(0).cast("long").alias("slots"),
+        F.greatest(F.lit(1), F.floor(F.col("docs") / BUCKET_ROWS)).cast("long").alias("buckets"),
+    )
+    return settle(table, "targets")
 
 
 def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -128,26 +142,37 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def draws(sources: DataFrame) -> DataFrame:
     """``(shard, number, first, n)``: how many slots of each source a shard has, and the number of the first."""
     spark = sources.sparkSession
-    slots = [r["slots"] for r in sources.orderBy("number").collect()]
+    member = F.array_sort(F.collect_list(F.struct("number", "slots"))).alias("members")
+    groups = settle(sources.groupBy(F.expr(f"number div {GROUP}").cast("int").alias("group")).agg(member, F.sum("slots").alias("slots")), "source-groups")
+    held = groups.select("group", "slots").orderBy("group").collect()
+    names, slots = np.array([r["group"] for r in held], dtype=np.int32), [r["slots"] for r in held]
     total = sum(slots)
     shards = -(-total // SHARD_BLOCKS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = np.array(slots, dtype=float) / max(total, 1)
         for batch in batches:
             for shard in batch["id"]:
                 n = np.random.default_rng([SEED, int(shard)]).multinomial(min(SHARD_BLOCKS, total - int(shard) * SHARD_BLOCKS), p)
-                yield pd.DataFrame({"shard": shard, "number": np.arange(len(n), dtype=np.int32), "n": n})
+                yield pd.DataFrame({"shard": shard, "group": names[n > 0], "n": n[n > 0]})
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, group, n, members in zip(batch["shard"], batch["group"], batch["n"], batch["members"]):
+                goal = np.array([m["slots"] for m in members], dtype=float)
+                drawn = np.random.default_rng([SEED, int(shard), int(group) + 1]).multinomial(int(n), goal / goal.sum())
+                yield pd.DataFrame({"shard": shard, "number": np.array([m["number"] for m in members], dtype=np.int32), "n": drawn})
 
     # no source, no shard: then there is nothing to draw
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 256))).mapInPandas(run, "shard long, number int, n long")
+    of_groups = spark.range(0, shards, 1, max(1, min(shards, 256))).mapInPandas(between, "shard long, group int, n long")
+    drawn = of_groups.join(groups.select("group", "members"), "group").mapInPandas(within, "shard long, number int, n long")
     goal = sources.select("number", "slots")
     upto = F.sum("n").over(Window.partitionBy("number").orderBy("shard"))
     run_on = drawn.withColumn("upto", upto).join(goal, "number")
     first = F.least(F.col("upto") - F.col("n"), F.col("slots"))
     stopped = run_on.select("shard", "number", first.alias("first"), (F.least("upto", "slots") - first).alias("n"))
     had = drawn.groupBy("number").agg(F.sum("n").alias("had"))
-    rest = goal.join(had, "number").filter("had < slots").select(F.lit(shards).cast("long").alias("shard"), "number", F.col("had").alias("first"), (F.col("slots") - F.col("had")).alias("n"))
+    rest = goal.join(had, "number", "left").withColumn("had", F.coalesce("had", F.lit(0))).filter("had < slots").select(F.lit(shards).cast("long").alias("shard"), "number", F.col("had").alias("first"), (F.col("slots") - F.col("had")).alias("n"))
     return stopped.unionByName(rest).filter("n > 0")
 
 

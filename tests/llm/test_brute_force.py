@@ -362,6 +362,20 @@ def test_mix_against_brute_force(spark):
         assert abs(sum(x.taken for x in got if x.source_size == n) - goal[i]) <= 2 * mixing.BLOCK_WORDS
 
 
+def test_more_sources_than_are_drawn_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    r = random.Random(2)
+    rows = [(i, " ".join(_own(r, r.choice([1, 40, 200]))), None if i == 0 else f"s{i % 50:02}") for i in range(400)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    names = sorted({s for s in source.values() if s}) + [None]
+    numbers = {x.source: x.number for x in mixing.source_table(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert numbers == {s: k for k, s in enumerate(names)}
+    for s in names:
+        mine = [x for x in got if source[x.doc_id] == s]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= 2 * mixing.BLOCK_WORDS and all(x.taken <= 3 * x.size for x in mine)
+
+
 def _letters(t):
     return any(c.isalpha() for c in t or "")
 

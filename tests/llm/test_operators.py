@@ -70,8 +70,9 @@ def test_mixing(docs, none):
     totals = Counter()
     for d, t, _, s in ROWS:
         totals[s] += len(words(t))
-    assert mixing.targets([10, 100, 1000], [1, 2, 3]) == pytest.approx([30, 300, 780])
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0]
+    table = lambda sizes: [r.target for r in mixing.source_table(docs.sparkSession.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")).orderBy("number").collect()]
+    assert table([10, 100, 1000]) == pytest.approx([30, 300, 780])
+    assert table([0, 0]) == [0, 0]
     assert {r.source_size for r in got} <= set(totals.values())
     made = mixing.assembled(docs)
     assert made.columns == docs.columns
