@@ -372,6 +372,15 @@ CASE WHEN page_id % 4 = 3 THEN 'extension' WHEN strlen(html) > 4000 THEN 'size'
     "epub_blocks": _EPUB.replace("{text}", "raw"),
     "epub_roundtrip": _EPUB.replace("{text}", "translate(raw, 'aeiou', 'AEIOU')"),
     "epub_missing": "SELECT doc_id, 'OEBPS/c' || CAST((len(string_split(coalesce(text, ''), E'\\n')) - 1) // 4 + 1 AS INT) || '.xhtml' AS missing FROM documents",
+    "html_blocks": r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<p><b>[^<]*<br>(<(p|li|div|h[1-6])[ >])', '\1', 'g'), '<p><b>[^<]*<br>(<(p|li|div|h[1-6])[ >])', '\1', 'g'), '</?(a|b|i|em|strong|span|br)( [^>]*)?/?>', '', 'g') AS h FROM pages),
+f AS (SELECT page_id, unnest(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 3)) AS raw, generate_subscripts(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 1), 1) AS pos FROM bare),
+t AS (SELECT page_id, pos, CASE WHEN tag = 'li' THEN 'list_item' WHEN tag LIKE 'h%' THEN 'heading' ELSE 'paragraph' END AS type, trim(regexp_replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM f),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS block_order FROM t WHERE text <> '')
+SELECT page_id AS doc_id, 0 AS chapter_index, block_order, 'ch-0-b' || block_order AS block_id, type, text FROM n""",
+    "sanitize_names": r"""WITH b AS (SELECT page_id, regexp_replace(strip_accents(regexp_extract(url || ' é?.TXT', '[^/]*$')), '[^\x00-\x7f]', '', 'g') AS base FROM pages),
+e AS (SELECT *, lower(regexp_extract(base, '.(\.[^.]*)$', 1)) AS ext FROM b),
+c AS (SELECT page_id, regexp_replace(ext, '[^A-Za-z0-9._-]+', '', 'g') AS ext, regexp_replace(regexp_replace(left(base, length(base) - length(ext)), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS stem FROM e)
+SELECT page_id, left(CASE WHEN stem = '' THEN 'archivo' ELSE stem END, 200 - length(ext)) || ext AS safe FROM c""",
     "epub_failed": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'File is not a zip file' ELSE 'spine item not in the manifest: lost' END AS error_message FROM documents WHERE doc_id % 9 IN (0, 1)",
     "epub_translated": f"""WITH p AS ({_EPUB.replace("{text}", "raw")}),
 c AS (SELECT doc_id, chapter_index, count(*) AS n, string_agg(text, E'\\n\\n' ORDER BY block_order) AS t FROM p GROUP BY ALL),
