@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, common, exact, language, lines, mixing, near, quality, secrets, simhash, warc
+from docspark.llm import bpe, common, exact, language, lines, mixing, quality, secrets, simhash, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -483,5 +483,3 @@ def test_registered_queries(spark):
     for name in ("op1_bpe", "op2_mix", "op4_simhash", "op5_secrets", "op7_exact", "op8_lines", "op9_language", "op10_quality"):
         assert QUERIES[name](spark, sf).count() == n, name
     assert QUERIES["op6_warc"](spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert QUERIES["op3_passages"](spark, sf).count() > 0
-    assert near.kept(spark.read.parquet(f"{sf}/documents.parquet")).count() <= n
