@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, lines, mixing, passages, quality, secrets, simhash, warc
+from docspark.llm import bpe, exact, language, lines, mixing, passages, quality, secrets, simhash, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": lines.op8_lines,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
+    "op11_wordbpe": wordbpe.op11_wordbpe,
 }
 
 ORACLES: dict[str, str] = {
