@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bpe, exact, language, lines, mixing, passages, quality, resample, secrets, simhash, warc, wordbpe
+from docspark.llm import bpe, exact, language, lines, mixing, passages, quality, resample, secrets, simhash, variants, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
     "op11_wordbpe": wordbpe.op11_wordbpe,
+    "op12_variants": variants.op12_variants,
     "op13_resample": resample.op13_resample,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact": exact.ORACLE,
+    "op12_variants": variants.ORACLE,
     "op13_resample": resample.ORACLE,
 }
