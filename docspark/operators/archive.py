@@ -9,6 +9,29 @@ MAX_RATIO = 100.0
 MAX_BYTES = 500 * 1024 * 1024
 
 
+def inside(name: str) -> bool:
+    """Whether a name stays in its folder at every point: the same rule as ``unsafe_name``."""
+    depth = 0
+    for part in name.split("/"):
+        depth += -1 if part == ".." else 0 if part in ("", ".") else 1
+        if depth < 0:
+            return False
+    return "\\" not in name and not name.startswith("/")
+
+
+def wrong(entries: list[tuple[str, int, int]], max_entries: int = MAX_ENTRIES, max_ratio: float = MAX_RATIO, max_bytes: int = MAX_BYTES) -> str | None:
+    """The verdict of ``check`` on one directory of ``(name, file_size, compress_size)``, in words; None if it is fit to unpack."""
+    if len(entries) > max_entries:
+        return f"too many entries: {len(entries)}"
+    bomb = next((name for name, size, packed in entries if packed > 0 and size / packed > max_ratio), None)
+    if bomb is not None:
+        return f"compression ratio: {bomb}"
+    if sum(size for _, size, _ in entries) > max_bytes:
+        return "too large unpacked"
+    odd = next((name for name, *_ in entries if not inside(name)), None)
+    return f"unsafe name: {odd}" if odd is not None else None
+
+
 def unsafe_name(name: Column) -> Column:
     """Backslash, absolute, or a path that climbs out of its folder at any point."""
     walk = F.aggregate(

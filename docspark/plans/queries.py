@@ -184,21 +184,45 @@ def sanitize_names(spark, sf):
     return rows.select("page_id", files.safe_name(F.col("name")).alias("safe"))
 
 
-def _epubs(spark, sf, damaged: bool = False):
+_escaped = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _plain_chapter(lines: list[str], n: int) -> tuple[str, str, bytes]:
+    """Entry name, href and bytes of a chapter as most tools write it."""
+    return f"OEBPS/c{n}.xhtml", f"c{n}.xhtml", ("<html><body>" + "".join(f"<p>{_escaped(x)}</p>" for x in lines) + "</body></html>").encode()
+
+
+def _odd_chapter(lines: list[str], n: int) -> tuple[str, str, bytes]:
+    """The same by other rights: escaped, relative and climbing hrefs, CDATA, comments, and four encodings."""
+    name, href = [(f"OEBPS/my chapter {n}.xhtml", f"my%20chapter%20{n}.xhtml"), (f"OEBPS/c{n}.xhtml", f"./c{n}.xhtml#top"), (f"Text/c{n}.xhtml", f"../Text/x/../c{n}.xhtml")][n % 3]
+    codec, mark, declared = [("utf-8", b"", ""), ("utf-16-le", b"\xff\xfe", "UTF-16"), ("iso-8859-1", b"", "ISO-8859-1"), ("utf-8", b"\xef\xbb\xbf", "utf-8")][n % 4]
+
+    def paragraph(line: str) -> str:
+        first, rest = line[: len(line) // 2], line[len(line) // 2 :]
+        try:
+            rest.encode(codec)
+            return f"<p class='a>b'>{_escaped(first)}<!-- </p> --><![CDATA[{rest}]]></p>"
+        except UnicodeEncodeError:
+            return f"<p>{_escaped(line)}</p>"
+
+    text = (f'<?xml version="1.0" encoding="{declared}"?>' if declared else "") + "<html><body>" + "\n".join(map(paragraph, lines)) + "</body></html>"
+    return name, href, mark + text.encode(codec, "xmlcharrefreplace")
+
+
+def _epubs(spark, sf, damaged: bool = False, chapter=_plain_chapter):
     """Archives packed from documents: a chapter for every four lines, in a folder, behind a navigation page.
 
     With ``damaged`` every ninth is cut in half, and every ninth names a chapter that its manifest lacks.
     """
 
     def run(batches):
-        esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 lines = (text or "").split("\n")
-                groups = [lines[i : i + 4] for i in range(0, len(lines), 4)]
-                items = "".join(f'<item id="c{n}" href="c{n}.xhtml" media-type="application/xhtml+xml"/>' for n in range(len(groups)))
-                refs = "".join(f'<itemref idref="c{n}"/>' for n in range(len(groups)))
+                made = [chapter(lines[i : i + 4], i // 4) for i in range(0, len(lines), 4)]
+                items = "".join(f'<item id="c{n}" href="{href}" media-type="application/xhtml+xml"/>' for n, (_, href, _) in enumerate(made))
+                refs = "".join(f'<itemref idref="c{n}"/>' for n in range(len(made)))
                 if damaged and doc_id % 9 == 1:
                     refs += '<itemref idref="lost"/>'
                 box = io.BytesIO()
@@ -207,8 +231,8 @@ def _epubs(spark, sf, damaged: bool = False):
                     z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
                     z.writestr("OEBPS/c.opf", f'<package><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine><itemref idref="nav"/>{refs}</spine></package>')
                     z.writestr("OEBPS/nav.xhtml", "<p>contents</p>")
-                    for n, g in enumerate(groups):
-                        z.writestr(f"OEBPS/c{n}.xhtml", "<html><body>" + "".join(f"<p>{esc(x)}</p>" for x in g) + "</body></html>")
+                    for name, _, content in made:
+                        z.writestr(name, content)
                 packed = box.getvalue()
                 out.append(packed[: len(packed) // 2] if damaged and doc_id % 9 == 0 else packed)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": out})
@@ -220,21 +244,34 @@ def epub_blocks(spark, sf):
     return html.blocks(epub.chapters(epub.entries(_epubs(spark, sf)))).select("doc_id", "chapter_index", "block_order", "type", "text")
 
 
-def epub_roundtrip(spark, sf):
-    """Archives with every chapter rendered anew, packed, and read once more."""
-    opened = settle(epub.entries(_epubs(spark, sf)), "epub-entries")
+def _again(books):
+    """Books with every chapter rendered anew in capitals, packed, and read once more."""
+    opened = settle(epub.entries(books), "epub-entries")
     chapters = epub.chapters(opened)
     blocks = html.blocks(chapters).withColumn("translated_text", F.translate("text", "aeiou", "AEIOU"))
-    merged, _ = epub.merge_entries(opened, epub.render_chapters(chapters, blocks))
+    merged = epub.merge_entries(opened, epub.render_chapters(chapters, blocks))
     again = epub.entries(epub.pack(merged).withColumnRenamed("output", "content"))
     return html.blocks(epub.chapters(again)).select("doc_id", "chapter_index", "block_order", "type", "text")
 
 
+def epub_roundtrip(spark, sf):
+    return _again(_epubs(spark, sf))
+
+
+def epub_odd_blocks(spark, sf):
+    """Books whose hrefs are escaped, relative or climb, with CDATA and chapters in four encodings."""
+    return html.blocks(epub.chapters(epub.entries(_epubs(spark, sf, chapter=_odd_chapter)))).select("doc_id", "chapter_index", "block_order", "type", "text")
+
+
+def epub_odd_roundtrip(spark, sf):
+    return _again(_epubs(spark, sf, chapter=_odd_chapter))
+
+
 def epub_missing(spark, sf):
     """Rendered names that the archive lacks: here chapters numbered one higher."""
     opened = settle(epub.entries(_epubs(spark, sf)), "epub-entries")
-    shifted = epub.chapters(opened).select("doc_id", F.concat(F.lit("OEBPS/c"), (F.col("chapter_index") + 1).cast("string"), F.lit(".xhtml")).alias("name"), F.lit(b"").alias("rendered"))
-    return epub.merge_entries(opened, shifted)[1].select("doc_id", F.array_join("missing", ",").alias("missing"))
+    shifted = epub.chapters(opened).select("doc_id", F.concat(F.lit("OEBPS/c"), (F.col("chapter_index") + 1).cast("string"), F.lit(".xhtml")).alias("name"))
+    return epub.missing_entries(opened, shifted).select("doc_id", F.array_join("missing", ",").alias("missing"))
 
 
 def epub_failed(spark, sf):
@@ -331,7 +368,7 @@ QUERIES = {
     for f in (
         txt_blocks, block_tokens, pack_chunks, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, glossary_requests, apply_translation, mismatch_stats,
         rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_body_size, pdf_blocks, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
-        sanitize_names, epub_blocks, epub_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once,
+        sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once,
     )
 }
 
@@ -371,6 +408,8 @@ SELECT path, n_entries, total_size, verdict, CASE verdict WHEN 'ratio' THEN bomb
 CASE WHEN page_id % 4 = 3 THEN 'extension' WHEN strlen(html) > 4000 THEN 'size' WHEN page_id % 4 > 0 AND html <> '' THEN 'content' END AS reason FROM pages""",
     "epub_blocks": _EPUB.replace("{text}", "raw"),
     "epub_roundtrip": _EPUB.replace("{text}", "translate(raw, 'aeiou', 'AEIOU')"),
+    "epub_odd_blocks": _EPUB.replace("{text}", "raw"),
+    "epub_odd_roundtrip": _EPUB.replace("{text}", "translate(raw, 'aeiou', 'AEIOU')"),
     "epub_missing": "SELECT doc_id, 'OEBPS/c' || CAST((len(string_split(coalesce(text, ''), E'\\n')) - 1) // 4 + 1 AS INT) || '.xhtml' AS missing FROM documents",
     "html_blocks": r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<p><b>[^<]*<br>(<(p|li|div|h[1-6])[ >])', '\1', 'g'), '<p><b>[^<]*<br>(<(p|li|div|h[1-6])[ >])', '\1', 'g'), '</?(a|b|i|em|strong|span|br)( [^>]*)?/?>', '', 'g') AS h FROM pages),
 f AS (SELECT page_id, unnest(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 3)) AS raw, generate_subscripts(regexp_extract_all(h, '<(p|li|h[1-6]|div|td|th|blockquote)( [^>]*)?>([^<]*)', 1), 1) AS pos FROM bare),

@@ -53,7 +53,7 @@ def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame |
     chapter_rows = epub.chapters(opened)
     answered = answers(block_requests(html.blocks(chapter_rows), glossary, max_tokens, context_chars), factory)
     rendered = settle(epub.render_chapters(chapter_rows, translation.apply_answers(answered.filter("error is null"))), "epub-rendered")
-    merged, missing = epub.merge_entries(opened, rendered)
+    missing = epub.missing_entries(opened, rendered)
     # of several errors the first kind counts: reading, translating, rendering
     kinds = [
         epub.failed(opened),
@@ -65,5 +65,5 @@ def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame |
     for n, more in enumerate(kinds[1:], 1):
         every = every.unionByName(more.withColumn("kind", F.lit(n)))
     bad = settle(every.groupBy("doc_id").agg(F.min_by("error_message", "kind").alias("error_message")), "epub-failed")
-    packed = epub.pack(merged.join(bad, "doc_id", "left_anti"))
+    packed = epub.pack(epub.merge_entries(opened.join(bad, "doc_id", "left_anti"), rendered))
     return _told(files.select("doc_id").join(packed, "doc_id", "left"), bad)

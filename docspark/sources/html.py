@@ -2,88 +2,35 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_HEADINGS = {f"h{n}" for n in range(1, 7)}
-_PARAGRAPHS = {"p", "td", "th", "blockquote", "div"}
-_TEXT = _HEADINGS | _PARAGRAPHS | {"li"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: An opening tag of the key closes an open tag of the value.
-_CLOSES = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "p"}} | {t: {"p"} for t in _HEADINGS | {"p", "blockquote", "div", "ul", "ol", "table"}}
+from docspark.sources import markup
 
-
-class LeafParser(HTMLParser):
-    """One pass with a stack: a text tag that opens makes every open text tag a container."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # tag, pieces, is a leaf, and for rewriting where its content starts and ends
-        self.found: list[list] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if tag in _VOID:
-            return
-        if self.stack and self.stack[-1][0] in _CLOSES.get(tag, ()):
-            self.closed(self.stack.pop())
-        node = [tag, [], True, None, None]
-        if tag in _TEXT:
-            for open_ in self.stack:
-                open_[2] = False
-            self.found.append(node)
-        self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for node in self.stack[i:]:
-                    self.closed(node)
-                del self.stack[i:]
-                return
-
-    def closed(self, node: list) -> None:
-        """Called when a tag ends, by an end tag, by its parent's or by one that cannot stand in it."""
-
-    def handle_data(self, data):
-        if not self.hidden:
-            for node in self.stack:
-                if node[0] in _TEXT:
-                    node[1].append(data)
+BLOCKS = "doc_id long, chapter_index int, block_order int, block_id string, type string, text string"
 
 
 def leaf_blocks(html: str) -> list[tuple[str, str]]:
     """``(type, text)`` of the leaf text tags in document order, blank ones left out."""
-    parser = LeafParser()
-    parser.feed(html)
-    parser.close()
-    out = []
-    for tag, pieces, leaf, *_ in parser.found:
-        text = " ".join(re.split(r"\s+", "".join(pieces))).strip()
-        if leaf and text:
-            out.append(("heading" if tag in _HEADINGS else "list_item" if tag == "li" else "paragraph", text))
-    return out
+    return [(leaf.kind, leaf.text) for leaf in markup.leaves(html)]
 
 
 def blocks(chapters: DataFrame) -> DataFrame:
-    """Blocks of ``(doc_id, chapter_index, html)``; a chapter without any gives no row."""
+    """Blocks of ``(doc_id, chapter_index, html)``, where ``html`` is text, or bytes in an encoding of their own.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, c, i, f"ch-{c}-b{i}", kind, text) for d, c, html in zip(batch["doc_id"], batch["chapter_index"], batch["html"]) for i, (kind, text) in enumerate(leaf_blocks(html or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chapter_index", "block_order", "block_id", "type", "text"])
+    A chapter without any block gives no row.
+    """
 
-    return chapters.select("doc_id", "chapter_index", "html").mapInPandas(run, "doc_id long, chapter_index int, block_order int, block_id string, type string, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for doc_id, chapter, value in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                text = markup.decoded(value)[0] if isinstance(value, bytes) else value or ""
+                made += [(doc_id, chapter, n, f"ch-{chapter}-b{n}", *block) for n, block in enumerate(leaf_blocks(text))]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            names = [f.split(" ")[0] for f in BLOCKS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return chapters.select("doc_id", "chapter_index", "html").mapInArrow(run, BLOCKS)
