@@ -339,6 +339,12 @@ _GLOSSARY = r"""
 w AS (SELECT item_id, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark),
 g0 AS (SELECT item_id * 1000 + pos AS position, trim(regexp_replace(term, '[\x00-\x1f]+', ' ', 'g')) AS term, trim(regexp_replace(translate(term, 'aeiou', 'AEIOU'), '[\x00-\x1f]+', ' ', 'g')) AS translation FROM w),
 g AS (SELECT term, min(position)::INT AS position, arg_max(translation, position) AS translation FROM g0 WHERE term <> '' AND translation <> '' AND length(term) <= 100 GROUP BY 1)"""
+_MATCHED = r"""
+x AS (SELECT doc_id, chunk_index, regexp_extract_all(chunk_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS held FROM k),
+pieces AS (SELECT doc_id, chunk_index, held, unnest(held) AS piece, generate_subscripts(held, 1) AS first FROM x),
+tm AS (SELECT *, regexp_extract_all(term, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS own FROM g),
+hits AS (SELECT DISTINCT doc_id, chunk_index, position, term, translation FROM pieces JOIN tm ON lower(piece) = lower(own[1]) WHERE lower(array_to_string(list_slice(held, first, first + len(own) - 1), '')) = lower(term)),
+told AS (SELECT doc_id, chunk_index, count(*) AS n_terms, string_agg(term, ',' ORDER BY position) AS terms, string_agg('- ' || term || ' → ' || translation, E'\n' ORDER BY position) AS arrows, string_agg('- ' || term || ' -> ' || translation, E'\n' ORDER BY position) AS plain FROM hits GROUP BY ALL)"""
 _SPANS = r"""
 raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS raw, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) - 1 AS line FROM documents),
 spans AS (SELECT doc_id, line, line // 4 + 1 AS page_number, line % 4 AS block_no,
@@ -383,6 +389,10 @@ SELECT doc_id, chapter_index, chunk_index::INT AS chunk_index, count(*) AS n_blo
     "chunk_text_context": f"{_PACKED} SELECT doc_id, chunk_index::INT AS chunk_index, n_blocks::INT AS n_blocks, est_tokens::INT AS est_tokens, est_tokens > {BUDGET} AS oversize, chunk_text, context, chunk_seq FROM k",
     "build_requests": f"{_REQUEST} SELECT doc_id, chunk_index::INT AS chunk_index, request_text, request_context, concat_ws(E'\\n\\n', '{chunking.SYSTEM}', CASE WHEN request_context <> '' THEN replace('{chunking.EXTRA}', '%s', request_context) END) AS system_prompt FROM r",
     "glossary_clean": f"WITH {_GLOSSARY} SELECT position, term, translation FROM g",
+    "glossary_match": f"{_PACKED}, {_GLOSSARY}, {_MATCHED} SELECT doc_id, chunk_index::INT AS chunk_index, n_terms, terms FROM told",
+    "glossary_requests": f"""{_PACKED}, {_GLOSSARY}, {_MATCHED}
+SELECT k.doc_id, k.chunk_index::INT AS chunk_index, nullif(concat_ws(E'\\n\\n', CASE WHEN n_blocks > 1 THEN replace('{chunking.STRUCTURE}', '%1$d', n_blocks::VARCHAR) END, '{chunking.TERMS}' || E'\\n' || arrows, CASE WHEN context <> '' THEN replace('{chunking.PREVIOUS}', '%s', context) END), '') AS request_context,
+concat_ws(E'\\n\\n', '{chunking.SYSTEM}', '{chunking.TERMS}' || E'\\n' || plain, CASE WHEN context <> '' THEN replace('{chunking.EXTRA}', '%s', context) END) AS system_prompt FROM k LEFT JOIN told USING (doc_id, chunk_index)""",
     "apply_translation": f"{_ANSWERED} SELECT doc_id, block_order::INT AS block_order, 'p-' || block_order AS block_id, translated_text FROM o",
     "mismatch_stats": f"{_ANSWERED} SELECT doc_id, count(*) FILTER (n_blocks > 1 AND len(parts) <> n_blocks) AS mismatched, count(*) AS n_chunks FROM s WHERE error IS NULL GROUP BY 1",
     "rebuild_txt": f"""{_ANSWERED}, u AS (SELECT doc_id, string_agg(translated_text, E'\\n\\n' ORDER BY block_order) AS output FROM o GROUP BY 1)
