@@ -7,7 +7,9 @@ mapped to blocks by a pseudorandom permutation of the source's block numbers, a
 new one for every pass; slots and blocks are joined by index.
 
 Draws alone would miss the targets by their noise, so the running count of a source
-stops at its target and what is missing after the last shard makes up one more.
+stops at its target and what is missing after the last shard makes up one more.  Of the
+last slot of a source only the first words are taken, as many as its target lacks: every
+source ends at its target to the word.
 
 At scale
   * Stream positions are prefix sums on three levels (rows in a bucket, buckets in
@@ -91,10 +93,15 @@ def source_table(rows: DataFrame) -> DataFrame:
     target = F.when(full, (REPEATS * size).cast("double")).otherwise(F.lit(unit) * weight)
     blocks = F.ceil(size / BLOCK_WORDS)
     table = found.select(
-        "source", "number", "source_size", target.alias("target"), blocks.alias("blocks"), F.when(size > 0, F.round(target * blocks / size)).otherwise(0).cast("long").alias("slots"),
-        F.greatest(F.lit(1), F.floor(F.col("docs") / BUCKET_ROWS)).cast("long").alias("buckets"),
+        "source", "number", "source_size", target.alias("target"), blocks.cast("long").alias("blocks"), F.greatest(F.lit(1), F.floor(F.col("docs") / BUCKET_ROWS)).cast("long").alias("buckets"),
     )
-    return settle(table, "targets")
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [slots_for(r.source_size, r.blocks, r.number, round(r.target)) for r in batch.itertuples(index=False)]
+            yield batch.assign(slots=[f[0] for f in found], last_words=[f[1] for f in found])
+
+    return settle(table.mapInPandas(measured, f"{table.schema.simpleString()[7:-1].replace(':', ' ')}, slots long, last_words long"), "targets")
 
 
 def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -116,29 +123,59 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
         .join(buckets, keys)
         .join(spans, ["number", "span"])
         .withColumn("start", F.col("span_start") + F.col("bucket_start") + F.col("row_start"))
-        .drop("span", "bucket", "span_start", "bucket_start", "row_start", "buckets")
+        .drop("span", "bucket", "span_start", "bucket_start", "row_start", "buckets", "slots", "last_words")
     )
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of ``range(n)`` at ``index``: four Feistel rounds, walked until inside."""
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of ``range(n)`` at ``index``, or ``back`` from its values: four Feistel rounds, walked until inside."""
     half = np.uint64(max(1, (int(n - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
     keys = np.random.default_rng([SEED, key]).integers(1, 1 << 63, size=4, dtype=np.uint64)
+
+    def scrambled(right: np.ndarray, k: np.uint64) -> np.ndarray:
+        mixed = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(32)) & mask
+
     out = index.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> half, out[todo] & mask
-        for k in keys:
-            mixed = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+        for k in keys[::-1] if back else keys:
+            left, right = (right ^ scrambled(left, k), left) if back else (right, left ^ scrambled(right, k))
         out[todo] = left << half | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
+def pass_key(number: int, turn: int) -> int:
+    """The key of the permutation of a source's blocks in its ``turn``-th pass."""
+    return number * 16 + turn
+
+
+def slots_for(size: int, blocks: int, number: int, words: int) -> tuple[int, int]:
+    """How many slots give ``words`` words of a source, and how many words the last of them gives.
+
+    Every block has ``BLOCK_WORDS`` words but the last, which is short; whether the last pass meets it
+    before it ends is read off its permutation.
+    """
+    if not words or not size:
+        return 0, 0
+    turn, rest = divmod(words, size)
+    if not rest:
+        turn, rest = turn - 1, size
+    short = size - (blocks - 1) * BLOCK_WORDS
+    met = int(permuted(np.array([blocks - 1]), blocks, pass_key(number, turn), back=True)[0])
+    slots = -(-rest // BLOCK_WORDS)
+    if met < slots:
+        # the short block is among them, or the last of them
+        slots = max(met + 1, 1 - (short - rest) // BLOCK_WORDS) if rest > met * BLOCK_WORDS else slots
+    before = (slots - 1) * BLOCK_WORDS - (BLOCK_WORDS - short if met < slots - 1 else 0)
+    return turn * blocks + slots, rest - before
+
+
 def draws(sources: DataFrame) -> DataFrame:
     """``(shard, number, first, n)``: how many slots of each source a shard has, and the number of the first."""
     spark = sources.sparkSession
@@ -177,7 +214,7 @@ def draws(sources: DataFrame) -> DataFrame:
 
 
 def slot_blocks(sources: DataFrame) -> DataFrame:
-    """``(shard, number, slot, pass, block)``: the block behind every slot of the mix."""
+    """``(shard, number, slot, turn, block, room)``: the block behind every slot of the mix, and how many of its words are taken."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,15 +224,16 @@ def slot_blocks(sources: DataFrame) -> DataFrame:
                     turn, place = slot // r.blocks, slot % r.blocks
                     block = np.empty_like(slot)
                     for k in np.unique(turn):
-                        block[turn == k] = permuted(place[turn == k], r.blocks, r.number * 16 + int(k))
-                    yield pd.DataFrame({"shard": r.shard, "number": np.int32(r.number), "slot": slot, "turn": turn.astype(np.int32), "block": block})
+                        block[turn == k] = permuted(place[turn == k], r.blocks, pass_key(r.number, int(k)))
+                    room = np.where(slot == r.slots - 1, r.last_words, BLOCK_WORDS)
+                    yield pd.DataFrame({"shard": r.shard, "number": np.int32(r.number), "slot": slot, "turn": turn.astype(np.int32), "block": block, "room": room})
 
     # a row stands for thousands of slots, so rows are spread before they unfold; a given
     # number of tasks keeps Spark from merging them by the few bytes these rows have
-    rows = draws(sources).join(sources.select("number", "blocks"), "number").select("shard", "number", "first", "n", "blocks")
+    rows = draws(sources).join(sources.select("number", "blocks", "slots", "last_words"), "number").select("shard", "number", "first", "n", "blocks", "slots", "last_words")
     slots = sources.agg(F.sum("slots")).first()[0] or 0
     tasks = min(MAX_TASKS, -(-slots // TASK_SLOTS)) or 1
-    return rows.repartition(tasks, F.col("shard"), F.col("number")).mapInPandas(run, "shard long, number int, slot long, turn int, block long")
+    return rows.repartition(tasks, F.col("shard"), F.col("number")).mapInPandas(run, "shard long, number int, slot long, turn int, block long, room long")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -217,7 +255,9 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = source_table(rows)
     rows = settle(placed(rows, sources), "places")
     # slots unfold from a few rows, so Spark would take them for small and broadcast them
-    return rows, slot_blocks(sources).hint("merge").join(pieces(rows), ["number", "block"])
+    mixed = slot_blocks(sources).hint("merge").join(pieces(rows), ["number", "block"])
+    room = F.col("room") - (F.col("start") + F.col("word") - F.col("block") * BLOCK_WORDS)
+    return rows, mixed.withColumn("n_words", F.least("n_words", room)).filter("n_words > 0").drop("room")
 
 
 def taken(docs: DataFrame) -> DataFrame:

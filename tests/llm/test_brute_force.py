@@ -376,6 +376,22 @@ def test_more_sources_than_are_drawn_together(spark, monkeypatch):
         assert abs(sum(x.taken for x in mine) - mine[0].target) <= 2 * mixing.BLOCK_WORDS and all(x.taken <= 3 * x.size for x in mine)
 
 
+def test_every_source_ends_at_its_target(spark):
+    """To the word, however small the sources; no document more than three times."""
+    r = random.Random(7)
+    sources = [f"s{i:03}" for i in range(600)]
+    sizes = [r.choice([1, 20, 40, 63, 64, 65, 119, 128, r.randint(20, 119)]) for _ in sources]
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(zip(sources, sizes))] + [(k + 600, " ".join(["v"] * 50), s) for k, s in enumerate(sources) if k % 50 == 0]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for x in got:
+        taken[rows[x.doc_id][2]] += x.taken
+        target[rows[x.doc_id][2]] = x.target
+        assert x.taken <= 3 * x.size
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sources)
+    assert len({round(t) % 64 for t in target.values()}) > 20
+
+
 def _letters(t):
     return any(c.isalpha() for c in t or "")
 
