@@ -1,12 +1,13 @@
 """Operator 8: line deduplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk wherever it is
-0 modulo ``MEAN_LINES``, so equal passages are cut alike wherever they stand in a
-document.  A chunk of two lines or more that occurs again anywhere is removed, but
-for its first occurrence (least ``doc_id``, then text, then position), after its bytes
-were compared with those of the first.  From there the repeat is followed line by line
-to both sides, bytes compared, as far as no other chunk is compared itself: so what stands between the edge of a repeated passage and its first or last
-boundary goes too.
+A rolling hash over the hashes of two lines in a row closes a chunk of these lines wherever it is
+not greater than at both neighbours: a place that depends on the lines beside it only, so equal
+passages are cut alike wherever they stand in a document.  Of any two neighbouring hashes the lesser
+one closes a chunk, so three lines that occur again hold a chunk that occurs again, whatever
+stands around them.  A chunk that occurs again anywhere is removed, but for its first occurrence (least
+``doc_id``, then text, then position), after its bytes were compared with those of the first;
+from there the repeat is followed by one line to either side, bytes compared, which takes it to
+its edges.
 
 At scale: hashes of chunks are counted before texts move; only documents with a chunk
 whose hash occurs again are opened for the comparison; every join is keyed by a hash or
@@ -28,9 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docspark.llm.common import settle, text_bytes
 
-WINDOW = 2
-MEAN_LINES = 2
-LEAST_LINES = 2
+#: Lines of a chunk, and those to either side of it that may go with it.
+CHUNK, BESIDE = 2, 1
 KEY = ["doc_id", "digest"]
 
 
@@ -52,33 +52,24 @@ def _part(lines: Column, first: Column, end: Column) -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, pos, first, end, low, high, hash)`` of every chunk of two lines or more that is not blank.
+    """``(doc_id, digest, first, hash)`` of every chunk that is not blank: lines ``first`` to ``first + CHUNK``."""
 
-    Lines ``first:end`` are the chunk's.  A repeat need not be followed beyond lines ``low:high``: where it goes on
-    further, a chunk there is repeated itself.  What begins a passage may be cut in other ways than in other places, up to
-    ``WINDOW`` chunks of it, what ends it up to one.
-    """
+    def closed(rolled: Column) -> Column:
+        # a missing neighbour is none that could be greater; the only hash of two lines closes a chunk
+        less = lambda i, k: F.coalesce(F.get(rolled, i) <= F.get(rolled, k), F.size(rolled) == 1)
+        at = F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: less(i, i - 1) | less(i, i + 1))
+        return F.when(F.size(rolled) > 0, F.transform(at, lambda i: F.struct(i.alias("first"), F.get(rolled, i).alias("hash"))))
 
-    def ends(hashes: Column) -> Column:
-        last = F.size(hashes) - 1
-        rolled = lambda i: F.xxhash64(*[F.get(hashes, i - k) for k in range(WINDOW)])
-        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(MEAN_LINES)) == 0))
+    def rolled(lines: Column) -> Column:
+        # a blank line has no hash, so that chunks of blank lines are told apart
+        hashes = F.transform(lines, lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x, F.octet_length(x))))
+        pair = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - CHUNK), lambda i: F.xxhash64(*[F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(CHUNK)]))
+        blank = lambda h, i: F.coalesce(*[F.get(h, i + k) for k in range(CHUNK)]).isNull()
+        made = lambda h: F.filter(_let(pair(h), closed), lambda c: ~blank(h, c["first"]))
+        return F.when(F.size(lines) >= CHUNK, _let(hashes, made))
 
-    def spans(ends_: Column) -> Column:
-        cut = F.transform(ends_, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(ends_, k - 1) + 1).alias("first"), (e + 1).alias("end")))
-        return F.filter(cut, lambda c: c["end"] - c["first"] >= LEAST_LINES)
-
-    def beside(own: Column, n: Column) -> Column:
-        return F.transform(own, lambda c, k: F.struct(c["first"].alias("first"), c["end"].alias("end"), F.coalesce(F.get(own, k - WINDOW)["first"], F.lit(0)).alias("low"), F.coalesce(F.get(own, k + 1)["end"], n).alias("high")))
-
-    def hashed(lines: Column) -> Column:
-        own = _let(_let(F.transform(lines, lambda x: F.xxhash64(x)), ends), spans)
-        text = lambda c: F.array_join(_part(lines, c["first"], c["end"]), "\n")
-        made = F.transform(_let(own, lambda o: beside(o, F.size(lines))), lambda c: _let(text(c), lambda t: F.struct(c["first"].alias("first"), c["end"].alias("end"), c["low"].alias("low"), c["high"].alias("high"), F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(t, F.octet_length(t))).alias("hash"))))
-        return made
-
-    rows = _keyed(docs).select(*KEY, F.posexplode(_let(_lines(), hashed)).alias("pos", "c"))
-    return rows.select(*KEY, "pos", "c.*").filter("hash is not null")
+    rows = _keyed(docs).select(*KEY, F.explode(_let(_lines(), rolled)).alias("c"))
+    return rows.select(*KEY, "c.first", "c.hash")
 
 
 def _same(x: Column, y: Column) -> Column:
@@ -91,20 +82,25 @@ def _same(x: Column, y: Column) -> Column:
 def repeated(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, gone)``: of each document that loses any the numbers of its removed lines, in order."""
     rows = settle(chunks(docs).distinct(), "chunk-hashes")
-    at = F.struct(F.col("doc_id").isNull().alias("unknown"), *KEY, "pos")
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), *KEY, "first")
     held = settle(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("of")).filter("n > 1"), "chunk-firsts")
-    again = rows.join(held.hint("merge"), "hash").select(*KEY, F.struct("hash", "first", "end", "low", "high", (F.col("of") == at).alias("is_first")).alias("c"))
+    again = rows.join(held.hint("merge"), "hash").select(*KEY, F.struct("hash", "first", (F.col("of") == at).alias("is_first")).alias("c"))
     marks = settle(again.groupBy(*KEY).agg(F.collect_list("c").alias("chunks")).withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}), "chunk-marks")
     # rows equal in id and text are one document: one of them is opened
     texts = _keyed(docs).join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select(*KEY, "chunks", "text")
-    opened = texts.select(*KEY, _lines().alias("lines"), F.explode("chunks").alias("c")).select(
-        *KEY, "c.hash", "c.is_first", "c.first", "c.end", _part(F.col("lines"), F.col("c.first"), F.col("c.end")).alias("own"),
-        F.reverse(_part(F.col("lines"), F.col("c.low"), F.col("c.first"))).alias("before"), _part(F.col("lines"), F.col("c.end"), F.col("c.high")).alias("after"),
-    )
+    def cut(lines: Column) -> Column:
+        end = lambda c: c["first"] + CHUNK
+        return F.transform("chunks", lambda c: F.struct(
+            c["hash"].alias("hash"), c["is_first"].alias("is_first"), c["first"].alias("first"), _part(lines, c["first"], end(c)).alias("own"),
+            F.reverse(_part(lines, F.greatest(F.lit(0), c["first"] - BESIDE), c["first"])).alias("before"), _part(lines, end(c), end(c) + BESIDE).alias("after"),
+        ))
+
+    # chunks are cut out before they become rows, so that no row holds a whole text
+    opened = texts.select(*KEY, F.explode(_let(_lines(), cut)).alias("c")).select(*KEY, "c.*")
     opened = settle(opened, "chunks")
     one = settle(opened.filter("is_first").groupBy("hash").agg(F.min(F.struct("own", "before", "after")).alias("kept")), "first-chunks")
     same = opened.filter("not is_first").join(one, "hash").filter(F.col("own") == F.col("kept.own"))
-    low, high = F.col("first") - _same(F.col("before"), F.col("kept.before")), F.col("end") + _same(F.col("after"), F.col("kept.after"))
+    low, high = F.col("first") - _same(F.col("before"), F.col("kept.before")), F.col("first") + CHUNK + _same(F.col("after"), F.col("kept.after"))
     return same.select(*KEY, F.sequence(low, high - 1).alias("gone")).groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

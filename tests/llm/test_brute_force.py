@@ -132,6 +132,20 @@ def test_lines_against_brute_force(spark):
     assert got[100].text == ""
 
 
+def test_recall_of_lines_by_length(spark):
+    """Of passages that occur twice, what goes of the second: nearly all, from three lines on."""
+    r = random.Random(9)
+    line = lambda: " ".join(_own(r, 4))
+    for n, least in ((2, 0.3), (3, 0.95), (4, 0.95), (5, 0.95), (8, 0.95), (20, 0.95)):
+        docs = []
+        for k in range(60):
+            passage = [line() for _ in range(n)]
+            docs += [(2 * k + m, "\n".join([*[line() for _ in range(r.randint(0, 5))], *passage, *[line() for _ in range(r.randint(0, 5))]])) for m in range(2)]
+        got = {x.doc_id: x.removed_lines for x in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert not any(got[2 * k] for k in range(60)) and all(got[2 * k + 1] <= n for k in range(60))
+        assert sum(got.values()) >= least * 60 * n, (n, sum(got.values()) / 60 / n)
+
+
 def _plain_base(text):
     found = []
     for kind, (pattern, low, group) in enumerate([(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2), (r"AKIA[A-Z0-9]+", 20, 0), (r"[0-9a-f]+", 24, 0)]):
@@ -335,7 +349,7 @@ def test_mix_against_brute_force(spark):
         held = streams.setdefault(p.number, [])
         assert len(held) == p.start
         held += [(p.number, p.start, p.size)] * p.size
-    want = Counter(w for s in slots for w in streams[s.number][s.block * mixing.BLOCK_WORDS : (s.block + 1) * mixing.BLOCK_WORDS])
+    want = Counter(w for s in slots for w in streams[s.number][s.block * mixing.BLOCK_WORDS : s.block * mixing.BLOCK_WORDS + s.room])
     # a pass over a source takes every block of it once, and only the last pass may be in part
     for number, goal in Counter(s.number for s in slots).items():
         mine = [s for s in slots if s.number == number]
@@ -359,7 +373,7 @@ def test_mix_against_brute_force(spark):
     by = {x.source_size: x.target for x in got}
     assert by == pytest.approx({n: goal[i] for i, n in enumerate(sizes)})
     for i, n in enumerate(sizes):
-        assert abs(sum(x.taken for x in got if x.source_size == n) - goal[i]) <= 2 * mixing.BLOCK_WORDS
+        assert abs(sum(x.taken for x in got if x.source_size == n) - goal[i]) <= 0.5
 
 
 def test_more_sources_than_are_drawn_together(spark, monkeypatch):
@@ -383,13 +397,13 @@ def test_every_source_ends_at_its_target(spark):
     sizes = [r.choice([1, 20, 40, 63, 64, 65, 119, 128, r.randint(20, 119)]) for _ in sources]
     rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(zip(sources, sizes))] + [(k + 600, " ".join(["v"] * 50), s) for k, s in enumerate(sources) if k % 50 == 0]
     got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    taken, target = Counter(), {}
+    taken, target, source = Counter(), {}, {k: s for k, _, s in rows}
     for x in got:
-        taken[rows[x.doc_id][2]] += x.taken
-        target[rows[x.doc_id][2]] = x.target
+        taken[source[x.doc_id]] += x.taken
+        target[source[x.doc_id]] = x.target
         assert x.taken <= 3 * x.size
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sources)
-    assert len({round(t) % 64 for t in target.values()}) > 20
+    assert len({round(t) % 64 for t in target.values()}) > 5
 
 
 def _letters(t):
