@@ -16,18 +16,30 @@ def job_id(path: Column, length: Column, changed: Column) -> Column:
     return F.sha2(F.concat_ws("|", path, length.cast("string"), changed.cast("string")), 256)
 
 
-def states(events: DataFrame) -> DataFrame:
-    """A row per job that was created: each column takes its own latest write."""
+def partial(events: DataFrame) -> DataFrame:
+    """What the events say of each job: the first and last time, and the latest write of each column with its number."""
+    made, seq = F.col("kind") == "created", F.col("seq")
     status = F.expr("case kind when 'created' then 'pending' when 'processing' then 'processing' when 'completed' then 'completed' when 'failed' then 'failed' end")
-    made = F.col("kind") == "created"
-    last = lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
-    rows = events.withColumn("status", status).groupBy("job_id").agg(
-        F.min(F.when(made, F.col("ts"))).alias("created_at"), F.max("ts").alias("updated_at"),
-        last("status", F.col("status").isNotNull()).alias("status"),
-        last("translated_blocks", F.col("kind") == "progress").alias("translated_blocks"), last("total_blocks", F.col("kind") == "progress").alias("total_blocks"),
-        last("output_path", F.col("kind") == "completed").alias("output_path"), last("error_message", F.col("kind") == "failed").alias("error_message"),
+    last = lambda when, *values: F.max(F.when(when, F.struct(seq, *values)))
+    return events.groupBy("job_id").agg(
+        F.min(F.when(made, F.col("ts"))).alias("created_at"), F.max("ts").alias("updated_at"), last(status.isNotNull(), status.alias("status")).alias("status"),
+        last(F.col("kind") == "progress", "translated_blocks", "total_blocks").alias("progress"), last(F.col("kind") == "completed", "output_path").alias("output"), last(F.col("kind") == "failed", "error_message").alias("failure"),
     )
-    return rows.filter("created_at is not null")
+
+
+def merged(partials: DataFrame) -> DataFrame:
+    """Partial states of the same jobs put together; in any order, and any of them twice."""
+    return partials.groupBy("job_id").agg(F.min("created_at").alias("created_at"), *[F.max(c).alias(c) for c in ("updated_at", "status", "progress", "output", "failure")])
+
+
+def finished(partials: DataFrame) -> DataFrame:
+    """The states of the jobs that were created."""
+    return partials.filter("created_at is not null").select("job_id", "created_at", "updated_at", "status.status", "progress.translated_blocks", "progress.total_blocks", "output.output_path", "failure.error_message")
+
+
+def states(events: DataFrame) -> DataFrame:
+    """A row per job that was created: each column takes its own latest write."""
+    return finished(partial(events))
 
 
 def view(state_rows: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docspark.operators import archive, chunking, files, glossary, jobs, layout, rebuild, translation
+from docspark.operators import archive, chunking, files, glossary, jobs, layout, ledger, rebuild, translation
 from docspark.plans import translate
 from docspark.plans.scratch import settle, shared_dir
 from docspark.sources import epub, html, txt
-from docspark.streaming import ingest
+from docspark.streaming import ingest, service
 
 BUDGET, TAIL = 300, 200
 
@@ -314,6 +314,22 @@ def ingest_once(spark, sf):
     return jobs.states(spark.read.parquet(f"{base}/out")).select("job_id", "status", "translated_blocks", "output_path", "error_message")
 
 
+def file_service(spark, sf):
+    """Documents as files of four kinds, in a stream of batches, to the ledger: states of the jobs, and why files were rejected."""
+    base = f"{shared_dir(spark).rstrip('/')}/service-{uuid.uuid4().hex}"
+    texts = _docs(spark, sf).filter("doc_id % 4 <> 1").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    books = _epubs(spark, sf, damaged=True).filter("doc_id % 4 = 1")
+    ext = F.element_at(F.array(F.lit(".txt"), F.lit(".epub"), F.lit(".pdf"), F.lit(".doc")), (F.col("doc_id") % 4 + 1).cast("int"))
+    made = texts.unionByName(books).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+    made.repartition(3, "path").write.parquet(f"{base}/in")
+    service.run(service.table(spark, f"{base}/in", 2), base, Stub, max_tokens=BUDGET, context_chars=TAIL)
+    files_ = spark.read.parquet(f"{base}/in").select("path", jobs.job_id(F.col("path"), F.col("length"), F.unix_micros("modificationTime")).alias("job_id"))
+    ledger.compact(spark, f"{base}/ledger")
+    states = ledger.states(spark, f"{base}/ledger").select("job_id", "status", "error_message")
+    rejected = spark.read.parquet(f"{base}/quarantine").select("job_id", F.lit("rejected").alias("status"), F.col("reason").alias("error_message"))
+    return files_.join(states.unionByName(rejected), "job_id").select("path", "status", "error_message")
+
+
 _WS = "E' \\n\\t\\r'"
 _BLOCKS = f"""
 b AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS block_order FROM (
@@ -374,7 +390,7 @@ QUERIES = {
     for f in (
         txt_blocks, block_tokens, pack_chunks, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, glossary_requests, apply_translation, mismatch_stats,
         rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_body_size, pdf_blocks, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
-        sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once,
+        sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once, file_service,
     )
 }
 
@@ -439,6 +455,17 @@ e AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'File is not a zip file' WHEN
 b AS (SELECT doc_id, chapter_index, CASE WHEN n > 1 AND len(string_split(answer, E'\\n\\n')) <> n THEN regexp_replace(answer, '\\s+', ' ', 'g') ELSE replace(answer, E'\\n\\n', E'\\n') END AS text FROM s),
 o AS (SELECT doc_id, string_agg(text, E'\\n' ORDER BY chapter_index) AS text FROM b GROUP BY 1)
 SELECT doc_id, CASE WHEN error_message IS NULL THEN 'completed' ELSE 'failed' END AS status, error_message, CASE WHEN error_message IS NULL THEN text END AS text FROM e LEFT JOIN o USING (doc_id)""",
+    "file_service": f"""{_ANSWERED}, bp AS ({_EPUB.replace("{text}", "raw")}),
+eb AS (SELECT doc_id, chapter_index, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY block_order) AS n, text, CAST(ceil(length(text) / 4.0) AS INT) AS tok FROM bp WHERE doc_id % 4 = 1),
+ep AS (SELECT *, 0 AS chunk_index, tok AS held FROM eb WHERE n = 1
+  UNION ALL SELECT eb.*, ep.chunk_index + CASE WHEN ep.held + eb.tok > {BUDGET} THEN 1 ELSE 0 END, CASE WHEN ep.held + eb.tok > {BUDGET} THEN eb.tok ELSE ep.held + eb.tok END FROM ep JOIN eb ON eb.doc_id = ep.doc_id AND eb.chapter_index = ep.chapter_index AND eb.n = ep.n + 1),
+ec AS (SELECT doc_id, chapter_index, chunk_index, string_agg(text, E'\\n\\n' ORDER BY n) AS t FROM ep GROUP BY ALL),
+ef AS (SELECT doc_id, arg_min('refused ' || length(t), chapter_index * 1000000 + chunk_index) AS error_message FROM ec WHERE starts_with(t, 'Th') AND length(t) % 7 = 3 GROUP BY 1),
+w AS (SELECT d.doc_id, 'in/' || d.doc_id || ['.txt', '.epub', '.pdf', '.doc'][d.doc_id % 4 + 1] AS path,
+  CASE WHEN d.doc_id % 4 = 3 THEN 'extension' WHEN d.doc_id % 4 = 2 THEN CASE WHEN coalesce(text, '') = '' THEN 'layout' ELSE 'content' END END AS reason,
+  CASE WHEN d.doc_id % 4 = 0 THEN f.error_message WHEN d.doc_id % 9 = 0 THEN 'File is not a zip file' WHEN d.doc_id % 9 = 1 THEN 'spine item not in the manifest: lost' ELSE ef.error_message END AS wrong
+  FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN ef ON ef.doc_id = d.doc_id)
+SELECT path, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN wrong IS NULL THEN 'completed' ELSE 'failed' END AS status, coalesce(reason, wrong) AS error_message FROM w""",
     "job_state": f"WITH {_JOBS} SELECT * FROM j",
     "job_progress": f"""WITH {_JOBS} SELECT job_id, status, translated_blocks, total_blocks, CASE WHEN status = 'failed' THEN error_message END AS error,
 CASE WHEN status = 'completed' THEN 100 WHEN coalesce(total_blocks, 0) = 0 THEN 0 ELSE least(99, floor(coalesce(translated_blocks, 0) / total_blocks::DOUBLE * 100)::INT) END AS percent,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
 from docspark.operators import chunking, glossary as terms, rebuild, translation
-from docspark.plans.scratch import settle
+from docspark.plans.scratch import settle, shared_dir
 from docspark.sources import epub, html, txt
 
 KEY = ["doc_id", "chapter_index", "chunk_index"]
@@ -23,12 +24,38 @@ def requests(docs: DataFrame, glossary: DataFrame | None = None, max_tokens: int
     return block_requests(txt.blocks(docs), glossary, max_tokens, context_chars)
 
 
-def answers(request_rows: DataFrame, factory: Callable) -> DataFrame:
-    """Requests with their answers, written once: a translator costs, and need not repeat itself."""
-    request_rows = settle(request_rows, "requests")
-    even = request_rows.select(*KEY, "request_text", "request_context").repartition(F.xxhash64(*KEY))
-    given = settle(translation.translate(even, factory, KEY), "answers").withColumnRenamed("text", "answer")
-    return request_rows.join(given, KEY)
+#: What a store of answers holds: by digest of the request, of which run, and what came of it.
+ANSWERS = "digest string, run string, text string, input_tokens int, output_tokens int, error string"
+#: Requests that one task asks; what it was told is kept as soon as it ends.
+TASK_REQUESTS = 500
+
+
+def answers(request_rows: DataFrame, factory: Callable, store: str | None = None, translator: str = "") -> DataFrame:
+    """Requests with their answers.  A translator costs: equal requests are asked once, and none that ``store`` answers.
+
+    ``store`` is a folder that keeps answers between runs, by digest of ``translator`` (its name and version) and request.
+    Each task's answers are added to it when that task ends, whatever becomes of the others; so a run that is broken off and
+    repeated asks again only what its unfinished tasks had asked.  Errors are kept too, but asked again by the next run.
+    """
+    spark = request_rows.sparkSession
+    store, run = store or f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}", uuid.uuid4().hex
+    digest = F.sha2(F.to_json(F.struct(F.lit(translator).alias("translator"), "request_text", "request_context")), 256)
+    request_rows = settle(request_rows.withColumn("digest", digest), "requests")
+    spark.createDataFrame([], ANSWERS).write.mode("append").parquet(store)
+    held = spark.read.schema(ANSWERS).parquet(store)
+    known = held.filter("error is null").select("digest").distinct()
+    asked = settle(request_rows.select("digest", "request_text", "request_context").dropDuplicates(["digest"]).join(known, "digest", "left_anti"), "asked")
+    tasks = -(-asked.count() // TASK_REQUESTS)
+    if tasks:
+        told = translation.translate(asked.repartition(tasks, F.xxhash64("digest")), factory, ["digest"]).withColumn("run", F.lit(run))
+        # this way of committing makes the files of a task final with the task, not with the job
+        told.select(*held.columns).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    # tasks that ran twice, and runs at the same time, may answer twice: one answer counts
+    fit = spark.read.schema(ANSWERS).parquet(store).filter(F.col("error").isNull() | (F.col("run") == run))
+    one = F.min(F.struct(F.col("error").isNotNull().alias("failed"), F.col("text").alias("answer"), "input_tokens", "output_tokens", "error")).alias("a")
+    given = fit.join(request_rows.select("digest"), "digest", "left_semi").groupBy("digest").agg(one)
+    given = settle(given.select("digest", "a.answer", "a.input_tokens", "a.output_tokens", "a.error"), "answers")
+    return request_rows.join(given, "digest").drop("digest")
 
 
 def _told(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -43,15 +70,15 @@ def translated(docs: DataFrame, answered: DataFrame) -> DataFrame:
     return _told(rebuild.text(docs, translation.apply_answers(answered.join(bad, "doc_id", "left_anti"))), bad)
 
 
-def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
-    """``(doc_id, output, status, error_message)`` of ``(doc_id, content)`` archives.
+def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS, store: str | None = None, translator: str = "") -> DataFrame:
+    """``(doc_id, output, status, error_message)`` of ``(doc_id, content)`` archives; answers as in ``answers``.
 
     An archive that cannot be read, a chunk that fails or a chapter that cannot be
     rendered fails its book whole and no other; nothing partial is given out.
     """
     opened = settle(epub.entries(files), "epub-entries")
     chapter_rows = epub.chapters(opened)
-    answered = answers(block_requests(html.blocks(chapter_rows), glossary, max_tokens, context_chars), factory)
+    answered = answers(block_requests(html.blocks(chapter_rows), glossary, max_tokens, context_chars), factory, store, translator)
     rendered = settle(epub.render_chapters(chapter_rows, translation.apply_answers(answered.filter("error is null"))), "epub-rendered")
     missing = epub.missing_entries(opened, rendered)
     # of several errors the first kind counts: reading, translating, rendering
