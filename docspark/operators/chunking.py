@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -47,6 +48,96 @@ def pack(blocks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return rows.repartition(*[F.col(c) for c in CHAPTER]).sortWithinPartitions(*CHAPTER, "block_order").mapInPandas(run, schema)
 
 
+#: Blocks of a chapter that one task packs at once in ``pack_wide``.
+RANGE_BLOCKS = 50_000
+
+
+def range_table(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of tokens that the open chunk may hold where ``tokens`` begin: chunks that start in them, and what is held at their end.
+
+    Entries 0 to ``max_tokens`` are that number, the next one is any more, and the last one is no chunk at all.  Chunks follow
+    each other by pointers: from the start of each to that of the next, found in the prefix sums.
+    """
+    n, upto = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+    follow = np.maximum(np.arange(n) + 1, np.searchsorted(upto, upto[:-1] + max_tokens, side="right") - 1)
+    count, left = np.zeros(n, dtype=np.int64), upto[n] - upto[:-1]
+    for k in range(n - 1, -1, -1):
+        if follow[k] < n:
+            count[k], left[k] = count[follow[k]] + 1, left[follow[k]]
+    held = np.arange(max_tokens + 1)
+    first = np.append(np.searchsorted(upto, max_tokens - held, side="right") - 1, [0, 0])
+    stays = first == n
+    at = np.minimum(first, n - 1)
+    started, end = np.where(stays, 0, count[at] + 1), np.where(stays, np.append(held, [0, 0]) + upto[n], left[at])
+    started[-1] -= 1  # the first chunk of a chapter is not a new one
+    return started, np.minimum(end, max_tokens + 1)
+
+
+def pack_wide(blocks: DataFrame, max_tokens: int = MAX_TOKENS, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """``pack`` for chapters larger than a task: the same rows.
+
+    A chapter is cut into ranges of blocks.  What a range does to a chunk that is open where it begins is a small table,
+    made for all ranges at once; one look-up a range tells with what each begins; then all ranges are packed at once.
+    """
+    rows = blocks.filter("type <> 'image'").select(*CHAPTER, "block_order", "block_id", "text", estimate_tokens("text").alias("est_tokens"), F.expr(f"cast(block_order div {range_blocks} as int)").alias("range"))
+    part = [*CHAPTER, "range"]
+    key = ", ".join(f"{c} {t}" for c, t in rows.select(*part).dtypes)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made() -> pd.DataFrame:
+            started, end = range_table(np.concatenate(held), max_tokens)
+            return pd.DataFrame([(*now, started, end)], columns=[*part, "started", "end"])
+
+        now, held = None, []
+        for batch in batches:
+            for name, group in batch.groupby(part, sort=False):
+                if name != now:
+                    if held:
+                        yield made()
+                    now, held = name, []
+                held.append(group["est_tokens"].to_numpy())
+        if held:
+            yield made()
+
+    def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chapter, state, chunk = None, 0, 0
+        for batch in batches:
+            out = []
+            for doc, number, range_, started, end in zip(*[batch[c] for c in [*part, "started", "end"]]):
+                if (doc, number) != chapter:
+                    chapter, state, chunk = (doc, number), max_tokens + 2, 0
+                out.append((doc, number, range_, state, chunk))
+                state, chunk = int(end[state]), chunk + int(started[state])
+            yield pd.DataFrame(out, columns=[*part, "state", "chunk"])
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, chunk = 0, 0
+        for batch in batches:
+            out = []
+            for tokens, begin, number in zip(batch["est_tokens"], batch["state"], batch["chunk"]):
+                if begin >= 0:  # the row before a range's first block tells with what it begins
+                    state, chunk = int(begin), int(number)
+                elif state > max_tokens + 1:
+                    state = tokens
+                elif state + tokens > max_tokens:
+                    state, chunk = tokens, chunk + 1
+                else:
+                    state += tokens
+                state = state if begin >= 0 else min(state, max_tokens + 1)
+                out.append(chunk)
+            batch = batch.assign(chunk_index=pd.Series(out, dtype="int32", index=batch.index))
+            yield batch[batch["state"] < 0][names]
+
+    names = [*CHAPTER, "block_order", "block_id", "text", "est_tokens", "chunk_index"]
+    lean = rows.select(*part, "block_order", "est_tokens").repartition(*part).sortWithinPartitions(*part, "block_order")
+    found = lean.mapInPandas(tables, f"{key}, started array<long>, end array<long>")
+    starts = found.repartition(*[F.col(c) for c in CHAPTER]).sortWithinPartitions(*part).mapInPandas(begins, f"{key}, state long, chunk long")
+    marks = starts.withColumn("block_order", F.lit(-1))
+    both = rows.withColumn("state", F.lit(-1).cast("long")).withColumn("chunk", F.lit(-1).cast("long")).unionByName(marks, allowMissingColumns=True)
+    schema = rows.drop("range").schema.simpleString()[7:-1].replace(":", " ") + ", chunk_index int"
+    return both.na.fill(0, ["est_tokens"]).repartition(*part).sortWithinPartitions(*part, "block_order").mapInPandas(packed, schema)
+
+
 def chunks(packed: DataFrame, max_tokens: int = MAX_TOKENS, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """One row per chunk: blocks in order, text, context (the tail of the chapter's previous chunk) and place in the document."""
     if context_chars < 1:

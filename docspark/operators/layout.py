@@ -45,12 +45,46 @@ def candidates(spans: DataFrame, images: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("page_index", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("block_no")) - 1)
 
 
-def blocks(spans: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """Candidates joined into blocks: a paragraph goes on from the page before where that one ends without a full stop."""
-    rows = candidates(spans, images)
+def _joins() -> Column:
+    """Whether a candidate may go on with what stands before it: the first of a page, and a paragraph."""
+    return (F.col("page_index") == 0) & (F.col("type") == "paragraph")
+
+
+def _open() -> Column:
+    """Whether a candidate may be gone on with: a paragraph without a full stop."""
+    return (F.col("type") == "paragraph") & ~F.col("text").rlike(SENTENCE_END)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``block_order``, a document in one piece."""
     order = Window.partitionBy("doc_id").orderBy("page_number", "block_no")
-    goes_on = (F.col("page_index") == 0) & (F.col("type") == "paragraph") & (F.lag("type").over(order) == "paragraph") & ~F.lag("text").over(order).rlike(SENTENCE_END)
-    rows = rows.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("block_order", (F.sum("starts").over(order) - 1).cast("int"))
+    goes_on = _joins() & F.coalesce(F.lag(_open()).over(order), F.lit(False))
+    return rows.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("block_order", (F.sum("starts").over(order) - 1).cast("int"))
+
+
+def _numbered_by_ranges(rows: DataFrame, range_pages: int) -> DataFrame:
+    """The same, by ranges of pages: each is numbered alone, and one row of each range tells what stands at its borders."""
+    rows = rows.withColumn("range", F.expr(f"page_number div {range_pages}"))
+    order = Window.partitionBy("doc_id", "range").orderBy("page_number", "block_no")
+    goes_on = _joins() & F.coalesce(F.lag(_open()).over(order), F.lit(False))
+    rows = rows.withColumn("inner", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    place = F.struct("page_number", "block_no")
+    borders = rows.groupBy("doc_id", "range").agg(F.min_by(_joins(), place).alias("joins"), F.max_by(_open(), place).alias("open"), F.max("inner").alias("n"))
+    ranges = Window.partitionBy("doc_id").orderBy("range")
+    # the first candidate of a range that goes on with the last one before it is no block of its own
+    borders = borders.withColumn("less", (F.col("joins") & F.coalesce(F.lag("open").over(ranges), F.lit(False))).cast("int"))
+    before = F.coalesce(F.sum(F.col("n") - F.col("less")).over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    borders = borders.select("doc_id", "range", (before - F.col("less") - 1).alias("offset"))
+    return rows.join(borders, ["doc_id", "range"]).withColumn("block_order", (F.col("offset") + F.col("inner")).cast("int"))
+
+
+def blocks(spans: DataFrame, images: DataFrame | None = None, range_pages: int | None = None) -> DataFrame:
+    """Candidates joined into blocks: a paragraph goes on from the page before where that one ends without a full stop.
+
+    With ``range_pages`` no task sees more of a document than so many pages, for documents larger than a task.
+    """
+    rows = candidates(spans, images)
+    rows = _numbered(rows) if range_pages is None else _numbered_by_ranges(rows, range_pages)
     extra = [c for c in ("image_data", "image_ext", "image_width", "image_height") if c in rows.columns]
     parts = F.array_sort(F.collect_list(F.struct("page_number", "block_no", "text")))
     out = rows.groupBy("doc_id", "block_order").agg(F.min_by("type", F.struct("page_number", "block_no")).alias("type"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.min("page_number").alias("page_number"), *[F.first(c, ignorenulls=True).alias(c) for c in extra])

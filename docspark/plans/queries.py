@@ -55,6 +55,11 @@ def pack_chunks(spark, sf):
     return chunking.pack(txt_blocks(spark, sf), BUDGET).select("doc_id", "block_order", "est_tokens", "chunk_index")
 
 
+def pack_wide(spark, sf):
+    """The same packing where no task sees more than four blocks of a document at once."""
+    return chunking.pack_wide(txt_blocks(spark, sf), BUDGET, 4).select("doc_id", "block_order", "est_tokens", "chunk_index")
+
+
 def pack_conversations(spark, sf):
     rows = _table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chapter_index"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_order", "text"))
     rows = rows.withColumn("block_id", F.concat(F.lit("p-"), "block_order")).withColumn("type", F.lit("paragraph"))
@@ -150,6 +155,12 @@ def pdf_blocks(spark, sf):
     return _pdf(spark, sf).select("doc_id", F.col("block_order").cast("long").alias("block_order"), "type", "text", F.col("page_number").cast("long").alias("page_number"))
 
 
+def pdf_blocks_by_page(spark, sf):
+    """The same blocks where no task sees more than one page of a document."""
+    rows = layout.blocks(_spans(spark, sf), _images(spark, sf), range_pages=1)
+    return rows.select("doc_id", F.col("block_order").cast("long").alias("block_order"), "type", "text", F.col("page_number").cast("long").alias("page_number"))
+
+
 def chapter_titles(spark, sf):
     rows = _pdf(spark, sf)
     return rebuild.titles(rows.select("doc_id", "chapter_index").distinct(), rows).select("doc_id", "title")
@@ -388,8 +399,8 @@ SELECT doc_id, CAST((pos - 1) // 4 AS INT) AS chapter_index, pos AS line, trim(r
 QUERIES = {
     f.__name__: f
     for f in (
-        txt_blocks, block_tokens, pack_chunks, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, glossary_requests, apply_translation, mismatch_stats,
-        rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_body_size, pdf_blocks, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
+        txt_blocks, block_tokens, pack_chunks, pack_wide, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_match, glossary_requests, apply_translation, mismatch_stats,
+        rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_body_size, pdf_blocks, pdf_blocks_by_page, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
         sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once, file_service,
     )
 }
@@ -398,6 +409,7 @@ ORACLES = {
     "txt_blocks": f"WITH {_BLOCKS} SELECT doc_id, 0 AS chapter_index, block_order::INT AS block_order, 'p-' || block_order AS block_id, 'paragraph' AS type, text FROM b",
     "block_tokens": f"WITH {_BLOCKS} SELECT doc_id, count(*) AS n_blocks, sum(tok)::BIGINT AS tokens FROM t GROUP BY 1",
     "pack_chunks": f"{_PACKED} SELECT doc_id, block_order::INT AS block_order, tok AS est_tokens, chunk_index::INT AS chunk_index FROM p",
+    "pack_wide": f"{_PACKED} SELECT doc_id, block_order::INT AS block_order, tok AS est_tokens, chunk_index::INT AS chunk_index FROM p",
     "pack_conversations": """WITH RECURSIVE l AS (SELECT conv_id AS doc_id, turn::INT AS chapter_index, unnest(string_split(coalesce(text, ''), E'\\n')) AS text, generate_subscripts(string_split(coalesce(text, ''), E'\\n'), 1) AS n FROM conversations),
 t AS (SELECT *, CAST(ceil(length(text) / 4.0) AS INT) AS tok FROM l), p AS (SELECT *, 0 AS chunk_index, tok AS held FROM t WHERE n = 1
 UNION ALL SELECT t.*, p.chunk_index + CASE WHEN p.held + t.tok > 20 THEN 1 ELSE 0 END, CASE WHEN p.held + t.tok > 20 THEN t.tok ELSE p.held + t.tok END FROM p JOIN t ON t.doc_id = p.doc_id AND t.chapter_index = p.chapter_index AND t.n = p.n + 1)
@@ -420,6 +432,7 @@ SELECT doc_id, 0::BIGINT AS step, 0::BIGINT AS translated_blocks, total::BIGINT
 UNION ALL SELECT doc_id, chunk_seq + 1, done::BIGINT, total::BIGINT FROM v LEFT JOIN f USING (doc_id) WHERE failed_seq IS NULL OR chunk_seq < failed_seq""",
     "pdf_body_size": f"WITH {_SPANS} SELECT * FROM m",
     "pdf_blocks": f"WITH {_PDF} SELECT * FROM bl",
+    "pdf_blocks_by_page": f"WITH {_PDF} SELECT * FROM bl",
     "chapter_titles": f"WITH {_PDF} SELECT doc_id, CASE WHEN type = 'heading' THEN text END AS title FROM bl WHERE block_order = 0",
     "html_rebuild": f"""WITH {_PDF}, esc AS (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS body,
 lag(type) OVER w AS b4, lead(type) OVER w AS nx, sum((type = 'heading')::INT) OVER w AS hn FROM bl WINDOW w AS (PARTITION BY doc_id ORDER BY block_order))
