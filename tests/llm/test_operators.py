@@ -127,6 +127,37 @@ def test_passages_of_a_crowd(spark):
     assert set(root.values()) == {0}
 
 
+def test_passages_of_an_edited_crowd(spark, monkeypatch):
+    """A family of edited passages larger than a crowd: all that is found is true, and it hangs together as all pairs do."""
+    monkeypatch.setattr(passages, "CROWD", 6)
+    monkeypatch.setattr(passages, "SHARE_WINDOWS", 10)
+    r = random.Random(11)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    base, texts = own(64), []
+    for i in range(48):
+        w = list(base)
+        if i >= 4:
+            w[r.randrange(20, 44)] = own(1)[0]
+        texts.append(" ".join(own(30 + i % 7) + w + own(30)))
+    r.shuffle(texts)
+    # a second family that shares a phrase with the first, which is no passage
+    texts += [" ".join(own(40) + base[20:34] + own(40)) for _ in range(12)]
+    hashed = [passages.word_hashes(t.encode()) for t in texts]
+    n = len(texts)
+    true = {(a, b) for a in range(n) for b in range(a + 1, n) if passages.aligned(hashed[a], hashed[b])}
+    got = {(x.a, x.b) for x in passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got <= true
+
+    def parts(pairs):
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(got) == parts(true) and len(set(parts(true))) == 13
+
+
 def _similar_passages(x, y):
     """Brute force: whether two texts have passages of 50 words, at whatever places, of similarity 0.8."""
     for size in (50, 53, 60):
