@@ -131,3 +131,34 @@ def test_files_as_rows(spark, tmp_path):
     service.run(service.table(spark, str(tmp_path / "in")), base, _counting(str(tmp_path / "calls")), max_size=8)
     assert {r.download_name: bytes(r.output) for r in spark.read.parquet(f"{base}/outputs").collect()} == {"translated_empty.txt": b"", "translated_a.TXT": b"ABC"}
     assert [(r.path, r.reason) for r in spark.read.parquet(f"{base}/quarantine").collect()] == [("y/a.txt", "size")]
+
+
+def test_states_that_expire(spark, tmp_path):
+    """Jobs that ended are let go; what comes later still counts, and the table of merged partial states is that of all events."""
+    import time
+
+    from docspark.streaming import live
+
+    r = random.Random(6)
+    schema, path, table, seen = ledger.EVENTS, str(tmp_path / "events"), str(tmp_path / "table"), []
+    kinds = ["created", "processing", "progress", "completed", "failed"]
+    rows = [(f"j{r.randint(0, 12)}", n, k := r.choice(kinds), n % 9 if k == "progress" and n % 4 else None, 9 if k == "progress" else None, f"o{n}" if k == "completed" else None, f"bad{n}" if k == "failed" else None) for n in range(150)]
+    r.shuffle(rows)
+    made = lambda xs: spark.createDataFrame(xs, "job_id string, seq long, kind string, translated_blocks int, total_blocks int, output_path string, error_message string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 3)).select(*[f.split(" ")[0] for f in schema.split(", ")])
+
+    def keep(batch, number):
+        held = batch.collect()
+        seen.append(held)
+        if held:
+            spark.createDataFrame(held, batch.schema).write.mode("append").parquet(table)
+
+    for k in range(3):
+        made(rows[k * 50 : k * 50 + 50]).write.mode("append").parquet(path)
+        live.expiring_states(spark.readStream.schema(schema).parquet(path), keep, str(tmp_path / "state"), 500).awaitTermination()
+        time.sleep(1)
+    got = jobs.finished(jobs.merged(spark.read.parquet(table)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.states(made(rows)).collect()))
+    # of a job that had ended before, only the new events are known
+    ended = {x.job_id for x in seen[0] if x.status and x.status.status in ("completed", "failed")}
+    again = [x for held in seen[1:] for x in held if x.job_id in ended]
+    assert again and any(x.created_at is None for x in again)
