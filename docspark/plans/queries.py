@@ -388,7 +388,8 @@ _MATCHED = r"""
 x AS (SELECT doc_id, chunk_index, regexp_extract_all(chunk_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS held FROM k),
 pieces AS (SELECT doc_id, chunk_index, held, unnest(held) AS piece, generate_subscripts(held, 1) AS first FROM x),
 tm AS (SELECT *, regexp_extract_all(term, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS own FROM g),
-hits AS (SELECT DISTINCT doc_id, chunk_index, position, term, translation FROM pieces JOIN tm ON lower(piece) = lower(own[1]) WHERE lower(array_to_string(list_slice(held, first, first + len(own) - 1), '')) = lower(term)),
+hits AS (SELECT DISTINCT doc_id, chunk_index, position, term, translation FROM pieces JOIN tm ON lower(piece) = lower(own[1]) WHERE lower(array_to_string(list_slice(held, first, first + len(own) - 1), '')) = lower(term)
+  AND (first > 1 OR regexp_matches(term, '^[\p{L}\p{N}_]')) AND (first + len(own) - 1 < len(held) OR regexp_matches(term, '[\p{L}\p{N}_]$'))),
 told AS (SELECT doc_id, chunk_index, count(*) AS n_terms, string_agg(term, ',' ORDER BY position) AS terms, string_agg('- ' || term || ' → ' || translation, E'\n' ORDER BY position) AS arrows, string_agg('- ' || term || ' -> ' || translation, E'\n' ORDER BY position) AS plain FROM hits GROUP BY ALL)"""
 _SPANS = r"""
 raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS raw, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) - 1 AS line FROM documents),
