@@ -7,10 +7,11 @@ import re
 import struct
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, components, exact, language, lines, mixing, passages, quality, secrets, simhash, warc
+from docspark.llm import bpe, components, exact, language, lines, mixing, near, passages, quality, secrets, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, pos int, fp long"
 
@@ -268,9 +269,13 @@ def test_simhash(spark, docs, none):
         assert {(r.a, r.b) for r in simhash.links(df, crowd=crowd).collect()} == want
 
 
-def test_near_stage(spark):
+@pytest.mark.parametrize("heads, share", [(None, None), ((), 3)])
+def test_near_stage(spark, monkeypatch, heads, share):
     import corpus_pipeline
 
+    if share:
+        monkeypatch.setattr(near, "HEADS", heads)
+        monkeypatch.setattr(near, "SHARE_NODES", share)
     r = random.Random(9)
     own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
     texts = []
@@ -282,6 +287,13 @@ def test_near_stage(spark):
         texts += [" ".join(base), " ".join(copy)]
     family = own(90)
     texts += [" ".join(family[:k] + own(1) + family[k + 1 :]) for k in range(10, 80, 2)]
+    # a template whose texts are mostly apart, a few of them linked one by one
+    template = own(60)
+    for _ in range(30):
+        copy = list(template)
+        for k in r.sample(range(60), 2):
+            copy[k] = own(1)[0]
+        texts.append(" ".join(copy))
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(own(40))), (None, " ".join(own(40))), (0, " ".join(own(40))), (900, ""), (901, None)]
     sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (words(t) for _, t in rows)]
     root = list(range(len(rows)))
@@ -296,6 +308,20 @@ def test_near_stage(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_parities_part_no_similar_sets():
+    """Parity bits differ at most in as many places as the sets do, so texts at the bound are never told apart by them."""
+    r = np.random.default_rng(4)
+    for n in (1, 9, 40, 400, 4000):
+        sets = r.integers(0, 2**64, n, dtype=np.uint64)
+        for part in (0, n // 9, n // 5, n // 2):
+            other = np.concatenate([sets[part:], r.integers(0, 2**64, part // 2, dtype=np.uint64)])
+            if not len(other):
+                continue
+            odd = sum(int(a ^ b & (2**64 - 1)).bit_count() for a, b in zip(near.parities(sets).view(np.uint64).tolist(), near.parities(other).view(np.uint64).tolist()))
+            assert odd <= len(np.setxor1d(sets, other))
+            assert n > 400 or part == 0 or odd >= 0.6 * len(np.setxor1d(sets, other))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
