@@ -95,11 +95,6 @@ def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return f, words
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def spliced(docs: list[tuple[int, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sequences ``(labels, features)`` of lines: each document as it is, and each of quality 1 with a run of lines of one of quality 0 set in."""
     r = np.random.default_rng(11)
@@ -116,15 +111,18 @@ def spliced(docs: list[tuple[int, np.ndarray]]) -> list[tuple[np.ndarray, np.nda
 
 
 def _ahead_and_back(e: np.ndarray, moves: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward log sums of padded sequences (n x length x 2), and the log sum over all paths of each."""
-    n, longest, _ = e.shape
-    ahead, back = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-    ahead[0] = e[:, 0]
-    for t in range(1, longest):
-        ahead[t] = np.where(here[:, t, None], e[:, t] + _log_sum(ahead[t - 1][:, :, None] + moves, 1), ahead[t - 1])
-    for t in range(longest - 2, -1, -1):
-        back[t] = np.where(here[:, t + 1, None], _log_sum(moves[None] + (e[:, t + 1] + back[t + 1])[:, None, :], 2), back[t + 1])
-    return ahead, back, _log_sum(ahead[-1], 1)
+    """Forward and backward log sums of padded sequences (all three length x 2 x n, ``here`` length x n), and the log sum over all paths of each."""
+    ahead, back = np.zeros_like(e), np.zeros_like(e)
+    ahead[0] = e[0]
+    for t in range(1, len(e)):
+        for q in (0, 1):
+            met = e[t, q] + np.logaddexp(ahead[t - 1, 0] + moves[0, q], ahead[t - 1, 1] + moves[1, q])
+            ahead[t, q] = np.where(here[t], met, ahead[t - 1, q])
+    for t in range(len(e) - 2, -1, -1):
+        to = e[t + 1] + back[t + 1]
+        for p in (0, 1):
+            back[t, p] = np.where(here[t + 1], np.logaddexp(moves[p, 0] + to[0], moves[p, 1] + to[1]), back[t + 1, p])
+    return ahead, back, np.logaddexp(ahead[-1, 0], ahead[-1, 1])
 
 
 def padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,14 +136,14 @@ def padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def expected(weights: np.ndarray, moves: np.ndarray, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Under the model: sums of features by state (2 x FEATURES), of moves (2 x 2), and the log sum of each sequence."""
-    e = x @ weights.T
-    ahead, back, whole = _ahead_and_back(e, moves, here)
-    p = np.exp(ahead + back - whole[None, :, None]) * here.T[..., None]
+    e, on = np.ascontiguousarray((x @ weights.T).transpose(1, 2, 0)), np.ascontiguousarray(here.T)
+    ahead, back, whole = _ahead_and_back(e, moves, on)
+    share = np.exp(np.minimum(ahead + back - whole, 0)) * on[:, None]
     got_m = np.zeros_like(moves)
-    for t in range(1, x.shape[1]):
-        joint = ahead[t - 1][:, :, None] + moves + (e[:, t] + back[t])[:, None, :] - whole[:, None, None]
-        got_m += (np.exp(np.minimum(joint, 0)) * here[:, t, None, None]).sum(0)
-    return np.einsum("tnq,ntf->qf", p, x), got_m, whole
+    for p in (0, 1):
+        for q in (0, 1):
+            got_m[p, q] = (np.exp(np.minimum(ahead[:-1, p] + moves[p, q] + e[1:, q] + back[1:, q] - whole, 0)) * on[1:]).sum()
+    return np.tensordot(share, x, ([0, 2], [1, 0])), got_m, whole
 
 
 def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +152,23 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80) -> tup
     if not sequences:
         weights[1, 0] = 1.0
         return weights, moves
-    x, y, here = padded(sequences)
+    # sequences of similar length are padded together
+    by_length: dict[int, list] = {}
+    for labels, f in sequences:
+        by_length.setdefault(len(f).bit_length(), []).append((labels, f))
+    groups = [padded(by_length[k]) for k in sorted(by_length)]
+    lines = sum(here.sum() for _, _, here in groups)
     gw, gm = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
     want_f, want_m = np.zeros_like(weights), np.zeros_like(moves)
-    for q in (0, 1):
-        want_f[q] = x[here & (y == q)].sum(0)
-        for p in (0, 1):
-            want_m[p, q] = (here[:, 1:] & (y[:, :-1] == p) & (y[:, 1:] == q)).sum()
+    for x, y, here in groups:
+        for q in (0, 1):
+            want_f[q] += x[here & (y == q)].sum(0)
+            for p in (0, 1):
+                want_m[p, q] += (here[:, 1:] & (y[:, :-1] == p) & (y[:, 1:] == q)).sum()
     for _ in range(rounds):
-        got_f, got_m, _ = expected(weights, moves, x, here)
-        dw, dm = (want_f - got_f) / here.sum() - 1e-3 * weights, (want_m - got_m) / here.sum() - 1e-3 * moves
+        got = [expected(weights, moves, x, here) for x, _, here in groups]
+        dw = (want_f - sum(f for f, _, _ in got)) / lines - 1e-3 * weights
+        dm = (want_m - sum(m for _, m, _ in got)) / lines - 1e-3 * moves
         gw += dw**2
         gm += dm**2
         weights += 0.3 * dw / np.sqrt(gw)
