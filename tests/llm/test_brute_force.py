@@ -1,5 +1,6 @@
 """Operators and the pipeline against brute force, on rows made to be awkward."""
 
+import base64
 import gzip
 import hashlib
 import itertools
@@ -82,7 +83,39 @@ def test_foreign_warc(spark):
     with pytest.raises(Exception, match="payload of"):
         warc.read(spark.createDataFrame([(bad,)], "content binary")).collect()
     bomb = warc.record(5, None, b"0" * 30_000_000, None, False)
-    assert max(map(len, next(warc.members(bomb)))) <= warc.PIECE and next(warc.records(bomb))[1].endswith(b"000")
+    assert max(map(len, warc.Member(bomb, 0))) <= warc.PIECE and next(warc.records(bomb))[1].endswith(b"000")
+
+
+def test_damaged_records_are_rows(spark):
+    """Of an archive with damaged records every other one is read, and each damaged one is a row with its error."""
+    good = [warc.record(k, f"u{k}", b"payload %d" % k, None, False) for k in range(9)]
+    raw = gzip.decompress(good[1])
+    sha = warc.digest(b"payload 1").encode()
+    bad_payload = gzip.compress(raw.replace(b"WARC-Payload-Digest: sha1:" + sha, b"WARC-Payload-Digest: sha1:" + b"B" * 32))
+    bad_frame = gzip.compress(re.sub(rb"(\r\nContent-Length: )(\d+)(\r\nWARC)", rb"\g<1>9\3", gzip.decompress(good[2])))
+    bad_gzip = bytearray(good[3])
+    bad_gzip[len(bad_gzip) // 2] ^= 0xFF
+    no_warc = gzip.compress(b"HTTP/1.1 200 OK\r\n\r\n")
+    content = b"".join([good[0], bad_payload, bad_frame, bytes(bad_gzip), good[4], no_warc, b"no gzip at all", good[5], good[6], good[7], good[8][:-9]])
+    archive = spark.createDataFrame([("x", content, 1)], "name string, content binary, error int")
+    got = warc.read(archive, strict=False).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in got if r.error is None] == [(k, b"payload %d" % k) for k in (0, 4, 5, 6, 7)]
+    failed = [r for r in got if r.error is not None]
+    assert [r.error.split(":")[0] for r in failed][:2] == ["payload of <urn", "content length does not frame the record"] and [r.page_id for r in failed][:2] == [1, 2]
+    # the member that cannot be unpacked, the one that is no record, what is no member and the cut one
+    assert len(failed) == 6 and all(r.payload is None and r.payload_digest is None for r in failed)
+    with pytest.raises(Exception, match="payload of"):
+        warc.read(archive).collect()
+
+
+def test_digests_in_hex_and_folded_headers():
+    raw = gzip.decompress(warc.record(1, "u", b"payload", None, False))
+    block = re.search(rb"WARC-Block-Digest: sha1:(\w+)", raw)[1]
+    hex_ = base64.b32decode(block).hex().encode()
+    (fields, held), = warc.records(gzip.compress(raw.replace(block, hex_).replace(b"WARC-Target-URI: u", b"WARC-Target-URI: u\r\n\tv")))
+    assert held.endswith(b"payload") and fields["warc-target-uri"] == "u v"
+    with pytest.raises(ValueError, match="block digest"):
+        list(warc.records(gzip.compress(raw.replace(block, hex_[::-1]))))
 
 
 def test_lines_keep_what_occurs_once(spark):
