@@ -208,6 +208,32 @@ def file_checks(spark, sf):
     return files.checked(pages, 4000).select("name", "format", "reason")
 
 
+def file_heads(spark, sf):
+    """Pages behind the heads of all kinds of files, under names of all formats: what they are taken for, and which are rejected."""
+    pages = _table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("html"), (F.col("page_id") % 7).alias("head"))
+    bytes_ = lambda x: F.unhex(F.lit(x.hex()))
+    local = b"PK\x03\x04" + bytes(26)
+    content = (
+        F.when(F.col("head").isin(0, 6), F.concat(bytes_(b"%PDF-"), "html"))
+        .when(F.col("head") == 1, F.concat(bytes_(local + b"mimetypeapplication/epub+zip"), "html"))
+        .when(F.col("head") == 2, F.concat(bytes_(local + b"c1.xhtml"), "html"))
+        .when(F.col("head") == 4, F.concat("html", bytes_(b"\x00")))
+        .when(F.col("head") == 5, F.lit(b""))
+        .otherwise(F.col("html"))
+    )
+    ext = F.element_at(F.array(F.lit(".txt"), F.lit(".epub"), F.lit(".pdf")), (F.floor(F.col("page_id") / 7) % 3 + 1).cast("int"))
+    rows = pages.select(F.concat(F.col("page_id").cast("string"), ext).alias("name"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return files.checked(rows).select("name", "format", files.content_kind(F.col("content")).alias("kind"), "reason")
+
+
+def file_jobs(spark, sf):
+    """Documents as files: the id of each one's job, what it writes and how that is handed out."""
+    ext = F.element_at(F.array(F.lit(".txt"), F.lit(".epub"), F.lit(".pdf")), (F.col("doc_id") % 3 + 1).cast("int"))
+    named = _table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), ext).alias("original_filename"), F.octet_length(F.coalesce("text", F.lit(""))).alias("length"))
+    made = named.select(jobs.job_id(F.concat(F.lit("in/"), "original_filename"), F.col("length"), F.col("doc_id")).alias("job_id"), files.extension(F.col("original_filename")).alias("format"), "original_filename")
+    return files.output_names(made, spark).select("job_id", "format", "media_type", "output_name", "download_name")
+
+
 def sanitize_names(spark, sf):
     rows = _table(spark, sf, "pages").select("page_id", F.concat("url", F.lit(" é?.TXT")).alias("name"))
     return rows.select("page_id", files.safe_name(F.col("name")).alias("safe"))
@@ -343,6 +369,19 @@ def ingest_once(spark, sf):
     return jobs.states(spark.read.parquet(f"{base}/out")).select("job_id", "status", "translated_blocks", "output_path", "error_message")
 
 
+def ledger_states(spark, sf):
+    """Events recorded in batches out of order, snapshots between them, a batch that comes twice: the states are those of all events."""
+    path = f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    rows, batch = _events(spark, sf), F.pmod(F.xxhash64("seq"), F.lit(4))
+    for n in (2, 0, 3):
+        ledger.record(rows.filter(batch == n), path, str(n))
+        if n != 3:
+            ledger.compact(spark, path)
+    ledger.record(rows.filter(batch == 0), path, "again")
+    ledger.record(rows.filter(batch == 1), path, "late")
+    return ledger.states(spark, path).select(F.col("job_id").cast("long").alias("job_id"), "status", "translated_blocks", "total_blocks", "output_path", "error_message")
+
+
 def file_service(spark, sf):
     """Documents as files of four kinds, in a stream of batches, to the ledger: states of the jobs, and why files were rejected."""
     base = f"{shared_dir(spark).rstrip('/')}/service-{uuid.uuid4().hex}"
@@ -419,8 +458,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt_blocks, block_tokens, pack_chunks, pack_wide, pack_conversations, chunk_text_context, build_requests, glossary_clean, glossary_rejected, glossary_match, glossary_requests, apply_translation, mismatch_stats,
-        rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_block_texts, pdf_body_size, pdf_blocks, pdf_blocks_by_page, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks,
-        sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once, file_service,
+        rebuild_txt, usage_by_doc, failed_docs, progress_trail, pdf_block_texts, pdf_body_size, pdf_blocks, pdf_blocks_by_page, chapter_titles, html_rebuild, html_blocks, zip_safety, file_checks, file_heads, file_jobs,
+        sanitize_names, epub_blocks, epub_roundtrip, epub_odd_blocks, epub_odd_roundtrip, epub_missing, epub_failed, epub_translated, job_state, job_progress, ingest_once, ledger_states, file_service,
     )
 }
 
@@ -474,6 +513,12 @@ v AS (SELECT *, CASE WHEN n_entries > 5 THEN 'entries' WHEN bomb IS NOT NULL THE
 SELECT path, n_entries, total_size, verdict, CASE verdict WHEN 'ratio' THEN bomb WHEN 'name' THEN odd END AS offender FROM v""",
     "file_checks": """SELECT page_id || ['.TXT', '.epub', '.pdf', '.doc'][page_id % 4 + 1] AS name, CASE page_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'epub' WHEN 2 THEN 'pdf' END AS format,
 CASE WHEN page_id % 4 = 3 THEN 'extension' WHEN strlen(html) > 4000 THEN 'size' WHEN page_id % 4 > 0 AND html <> '' THEN 'content' END AS reason FROM pages""",
+    "file_heads": """WITH p AS (SELECT page_id, page_id % 7 AS k, ['txt', 'epub', 'pdf'][page_id // 7 % 3 + 1] AS ext, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, CASE WHEN k IN (0, 6) THEN 'pdf' WHEN k = 1 THEN 'epub' WHEN k = 2 THEN 'zip' WHEN k = 5 OR k = 3 AND h = '' THEN 'empty' WHEN k <> 4 OR strlen(h) >= 4096 THEN 'txt' END AS kind FROM p)
+SELECT page_id || '.' || ext AS name, ext AS format, kind, CASE WHEN kind IS NULL OR kind NOT IN ('empty', ext) AND NOT (ext = 'epub' AND kind = 'zip') THEN 'content' END AS reason FROM q""",
+    "file_jobs": """WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, ['txt', 'epub', 'pdf'][doc_id % 3 + 1] AS ext FROM documents)
+SELECT sha256('in/' || doc_id || '.' || ext || '|' || n || '|' || doc_id) AS job_id, ext AS format, CASE ext WHEN 'txt' THEN 'text/plain' WHEN 'epub' THEN 'application/epub+zip' ELSE 'application/pdf' END AS media_type,
+'output.' || CASE ext WHEN 'pdf' THEN 'html' ELSE ext END AS output_name, 'translated_' || doc_id || '.' || ext AS download_name FROM d""",
     "epub_blocks": _EPUB.replace("{text}", "raw"),
     "epub_roundtrip": _EPUB.replace("{text}", "translate(raw, 'aeiou', 'AEIOU')"),
     "epub_odd_blocks": _EPUB.replace("{text}", "raw"),
@@ -509,6 +554,7 @@ w AS (SELECT d.doc_id, 'in/' || d.doc_id || ['.txt', '.epub', '.pdf', '.doc'][d.
   FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN ef ON ef.doc_id = d.doc_id)
 SELECT path, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN wrong IS NULL THEN 'completed' ELSE 'failed' END AS status, coalesce(reason, wrong) AS error_message FROM w""",
     "job_state": f"WITH {_JOBS} SELECT * FROM j",
+    "ledger_states": f"WITH {_JOBS} SELECT * FROM j",
     "job_progress": f"""WITH {_JOBS} SELECT job_id, status, translated_blocks, total_blocks, CASE WHEN status = 'failed' THEN error_message END AS error,
 CASE WHEN status = 'completed' THEN 100 WHEN coalesce(total_blocks, 0) = 0 THEN 0 ELSE least(99, floor(coalesce(translated_blocks, 0) / total_blocks::DOUBLE * 100)::INT) END AS percent,
 CASE WHEN status = 'processing' AND total_blocks > 0 THEN CASE WHEN translated_blocks < total_blocks THEN 'translating' ELSE 'rebuilding' END ELSE 'reading' END AS stage FROM j""",
