@@ -159,6 +159,38 @@ def test_passages_of_an_edited_crowd(spark, monkeypatch):
     assert parts(got) == parts(true) and len(set(parts(true))) == 13
 
 
+def test_passage_classes_of_an_edited_family(spark, monkeypatch, tmp_path):
+    """op3 gives each document of a family larger than a crowd one row and the class that all pairs make, and tries no class within itself."""
+    monkeypatch.setattr(passages, "CROWD", 6)
+    r = random.Random(12)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    base, texts = own(70), []
+    for i in range(60):
+        w = list(base)
+        if i >= 5:
+            w[r.randrange(22, 46)] = own(1)[0]
+        texts.append(" ".join(own(20 + i % 7) + w + own(30)))
+    pair = own(55)
+    texts += [" ".join(own(40) + base[20:34] + own(40)) for _ in range(8)] + [" ".join(own(20) + pair), " ".join(pair + own(25))]
+    rows = [(i + 10, t) for i, t in enumerate(texts)] + [(3, texts[7]), (90, " ".join(own(60))), (91, None), (None, texts[-1]), (92, texts[62]), (93, texts[62])]
+    hashed = [passages.word_hashes((t or "").encode()) for _, t in rows]
+    alike = lambda x, y: rows[x][1] == rows[y][1] and len(hashed[x]) >= 50 or bool(passages.aligned(hashed[x], hashed[y]))
+    true = [(x, y) for x in range(len(rows)) for y in range(x + 1, len(rows)) if alike(x, y)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for x, y in true:
+            root[x] = root[y] = min(root[x], root[y])
+    sizes = Counter(root)
+    least = {k: min((rows[i][0] for i in range(len(rows)) if root[i] == k and rows[i][0] is not None)) for k, n in sizes.items() if n > 1}
+    want = Counter((rows[i][0], least[k], sizes[k]) for i, k in enumerate(root) if sizes[k] > 1)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = passages.op3_passages(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.component_id, x.n_documents) for x in got) == want and len(least) == 3
+    assert all(x.end_word - x.first_word >= 50 for x in got)
+    found = passages.between_texts(spark.createDataFrame(rows, "doc_id long, text string"))[0]
+    assert found.select("a", "b").distinct().count() < len(true) * 2 / 3
+
+
 def _similar_passages(x, y):
     """Brute force: whether two texts have passages of 50 words, at whatever places, of similarity 0.8."""
     for size in (50, 53, 60):
