@@ -51,7 +51,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more, by SimHash, then by bands) the document with the smallest id stays."""
     # a table has a known size: Spark broadcasts the ids only below its threshold, and texts are shuffled only beyond it
     kept = settle(near.kept(docs).select("doc_id", F.col("node").alias("key")), "near_kept")
     return _rows_of(docs, near.text_node(), kept).select("row.*")

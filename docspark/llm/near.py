@@ -1,11 +1,13 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash bands bring texts together and every candidate is verified on its exact sets.
-A pair at the bound shares none of ``BANDS`` bands of ``ROWS`` hashes with a chance of
+SimHash (operator 4, on five-word shingles) brings together the texts whose fingerprints hang
+together by ``simhash.BITS`` bits or fewer; each is verified on its exact sets against the least of them.
+Pairs at the bound differ in 10 of 64 bits, so most are out of its reach: MinHash bands bring
+together what is still apart, and every candidate is verified alike.  A pair at the bound shares none of ``BANDS`` bands of ``ROWS`` hashes with a chance of
 ``(1 - 0.8 ** 5) ** 30``, under 1 in 100,000, more similar ones less.
 
 At scale
-  * Equal texts are one node; the nodes of a band first meet its least one.  After these links are
+  * Equal texts are one node; the nodes of a band that SimHash has left apart first meet its least one.  After these links are
     closed to components, the nodes outside the largest component of a band meet a few heads of it,
     then more, and at last all nodes of other components; so a family of copies is not paired
     in full and no link between groups is lost.
@@ -24,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docspark.llm.common import settle, text_bytes
+from docspark.llm import simhash
+from docspark.llm.common import settle, small_batches, text_bytes
 from docspark.llm.components import components
 
 SHINGLE = 5
@@ -43,6 +46,8 @@ SKETCH = [*[f"m{k}" for k in range(PLANES * PLANE_LONGS)], *[f"q{k}" for k in ra
 HEADS = (16,)
 #: Nodes outside its largest component that a band compares in one task, of as many nodes in all.
 SHARE_NODES = 20_000
+#: Rows that a task sends to Python at a time: texts and sets of shingles are large.
+BATCH_ROWS = 1000
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -182,28 +187,51 @@ def _with_all(named: DataFrame) -> DataFrame:
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """``(doc_id, node)`` of the row that stays of each group; ``node`` is ``text_node`` of its text."""
-    rows = docs.select("doc_id", text_node().alias("node"))
+def by_simhash(docs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of texts to compare: each with the least one that its fingerprint hangs together with."""
+    named = simhash.near_duplicates(docs.select(text_node().alias("doc_id"), "text"), SHINGLE)
+    return named.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    named = rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left")
+    return named.withColumn(root, F.coalesce(root, node))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Verified pairs ``(a, b)`` of texts, of which all components of similar texts follow."""
     texts = docs.select(text_node().alias("node"), text_bytes("text").alias("text"))
+    first = settle(by_simhash(docs), "simhash_pairs")
     sketched = settle(_sketches(texts), "sketches").dropDuplicates(["node"])
     band = settle(sketched.select("node", "size", F.explode("bands").alias("band")), "bands")
     often = band.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).filter("n > 1")
     met = settle(band.join(often.select("band", "head"), "band"), "met")
-    single = texts.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("text").alias("text"))
+    named = met.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    single = texts.join(named, "node").groupBy("node").agg(F.min("text").alias("text"))
     single = settle(_shingled(single), "near_shingles")
+    found = settle(_verified(first, single), "links")
+    roots = settle(components(found), "roots")
     tried = met.filter(_alike("size", "head.size")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    tried = settle(tried, "tried")
-    links = settle(_verified(tried, single), "links")
+    apart = _rooted(_rooted(tried, roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b").select("a", "b")
+    tried = settle(apart.join(first, ["a", "b"], "left_anti"), "tried")
+    found = found.unionByName(settle(_verified(tried, single), "links"))
+    tried = tried.unionByName(first)
     for heads in (*HEADS, None):
         # bands whose nodes are one component have nothing left to try
-        named = _mixed(met, links, sketched)
+        named = _mixed(met, found, sketched)
         if named.isEmpty():
             break
         pairs = settle((_with_heads(named, heads) if heads else _with_all(named)).join(tried, ["a", "b"], "left_anti"), "tried")
-        links = links.unionByName(settle(_verified(pairs, single), "more_links"))
+        found = found.unionByName(settle(_verified(pairs, single), "more_links"))
         tried = tried.unionByName(pairs)
-    roots = settle(components(links), "roots")
+    return found
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """``(doc_id, node)`` of the row that stays of each group; ``node`` is ``text_node`` of its text."""
+    rows = docs.select("doc_id", text_node().alias("node"))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        roots = settle(components(links(docs)), "roots")
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("least"))
     return least.select("least.doc_id", "least.node")

@@ -340,6 +340,26 @@ def test_near_stage(spark, monkeypatch, heads, share):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_near_stage_links_by_simhash(spark):
+    """Near copies whose fingerprints are close come together by operator 4; it brings none together that the sets tell apart."""
+    r = random.Random(21)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    base = own(600)
+    texts = [" ".join(base[:k] + own(1) + base[k + 1 :]) for k in range(60, 540, 60)] + [" ".join(own(80)) for _ in range(5)] + ["", "one", "two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.fingerprint(t.encode(), near.SHINGLE) & (2**64 - 1) for t in texts]
+    close = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= simhash.BITS}
+    node = {x.node: x.doc_id for x in docs.select("doc_id", near.text_node().alias("node")).collect()}
+    pairs = {tuple(sorted((node[x.a], node[x.b]))) for x in near.by_simhash(docs).collect()}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(pairs) == len(texts) - len(set(root)) >= 3 and all(root[a] == root[b] for a, b in pairs)
+    found = {tuple(sorted((node[x.a], node[x.b]))) for x in near.links(docs).collect()}
+    assert pairs <= found and all(b < 8 for _, b in found) and len({b for _, b in found} | {a for a, _ in found}) == 8
+
+
 def test_parities_part_no_similar_sets():
     """Parity bits differ at most in as many places as the sets do, so texts at the bound are never told apart by them."""
     r = np.random.default_rng(4)
