@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Words that a worker remembers at most, between batches.
 CACHE_WORDS = 300_000
+#: Bytes of ids that a worker gathers before it hands them on.
+TOGETHER = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,6 +100,25 @@ class Coder:
         return b"".join([self.pieces[i] for i in memoryview(packed).cast("I")])
 
 
+def coded(batches: Iterator, coder: Coder, keep: tuple[str, ...]) -> Iterator:
+    """Arrow batches of ``keep`` columns, ``ids`` and ``decoded``, of ``TOGETHER`` bytes of ids or one text more.
+
+    A batch has thousands of texts; their ids and copies never stand in memory all at once.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, size, done = [], 0, 0
+        for n, text in enumerate(batch.column("__text"), 1):
+            ids.append(coder.encode(text.as_py()))
+            size += len(ids[-1])
+            if size >= TOGETHER or n == batch.num_rows:
+                decoded = pa.array([coder.decode(x) for x in ids], pa.binary())
+                kept = batch.slice(done, len(ids))
+                yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in keep], pa.array(ids, pa.binary()), decoded], names=[*keep, "ids", "decoded"])
+                ids, size, done = [], 0, n
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``ids`` (packed token ids) and ``decoded`` (bytes) of each row of ``docs``.
 
@@ -109,13 +130,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...]
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        coder = Coder(shipped.value, pattern)
-        for batch in batches:
-            ids = [coder.encode(t.as_py()) for t in batch.column("__text")]
-            decoded = pa.array([coder.decode(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(ids, pa.binary()), decoded], names=[*keep, "ids", "decoded"])
+        return coded(batches, Coder(shipped.value, pattern), keep)
 
     chosen = docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     return chosen.mapInArrow(run, schema)

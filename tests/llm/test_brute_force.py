@@ -42,6 +42,21 @@ def test_large_ids_beside_null(spark):
     assert {r.refers_to for r in got if r.record_type == "revisit"} == {2**60 + 1, -(2**62) - 3} - {r.page_id for r in got if r.record_type == "revisit"}
 
 
+def test_bpe_hands_on_small_batches(monkeypatch):
+    """However large a batch is, its ids and decoded bytes leave in small ones, in order and whole."""
+    import pyarrow as pa
+
+    P = pytest.importorskip("public_tokenizers")
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(bpe, "TOGETHER", 400)
+    texts = [f"text {k} of some words " * (k % 7) for k in range(300)] + ["one long text " * 500, ""]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "__text": texts}), pa.RecordBatch.from_pydict({"doc_id": [7], "__text": ["x"]}), pa.RecordBatch.from_pydict({"doc_id": [], "__text": pa.array([], pa.string())})]
+    out = [b.to_pydict() for b in bpe.coded(iter(batches), bpe.Coder(ranks, P.PATTERN), ("doc_id",))]
+    whole, most = bpe.Coder(ranks, P.PATTERN), 400
+    assert [(d, i, t.decode()) for b in out for d, i, t in zip(b["doc_id"], b["ids"], b["decoded"])] == [(d, whole.encode(t), t) for d, t in [*enumerate(texts), (7, "x")]]
+    assert len(out) > 20 and all(sum(map(len, b["ids"][:-1])) < most for b in out)
+
+
 def test_bpe_cache_is_emptied(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
