@@ -191,6 +191,61 @@ def test_passage_classes_of_an_edited_family(spark, monkeypatch, tmp_path):
     assert found.select("a", "b").distinct().count() < len(true) * 2 / 3
 
 
+def test_bound_of_crowded_texts():
+    """Texts of a family that may share a passage: all that do, and hardly any other, also where a phrase stands over and over."""
+    import numpy as np
+
+    r = random.Random(13)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    base, texts = own(140), []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(r.randrange(14)):
+            at, how = r.randrange(len(w)), r.randrange(4)
+            w[at : at + (how != 1)] = w[max(0, at - 4) : at] * 2 if how == 3 else own(1) if how < 2 else []
+        texts.append(w)
+    texts += [own(40) + ["x", "y"] * 150 + own(40) for _ in range(5)] + [own(60), base[:20], base[:48] + own(20)]
+    hashed = [passages.word_hashes(" ".join(w).encode()) for w in texts]
+    tokens = [passages._marked(h) for h in hashed]
+    coded, every = passages._coded(tokens), np.arange(len(texts))
+    true = {(a, b) for a in range(len(texts)) for b in range(a) if passages.aligned(hashed[a], hashed[b])}
+    kept = {(a, b) for a in range(len(texts)) for b in passages._like_enough(tokens[a], coded, every[:a]).tolist()}
+    assert 100 < len(true) < len(texts) * (len(texts) - 1) / 4
+    assert true <= kept and len(kept) < 1.2 * len(true)
+
+
+def test_passages_of_outsiders_of_a_crowd(spark, monkeypatch, tmp_path):
+    """Texts of a family that are no near copies of most others: few pairs of them are aligned, and classes are those of all pairs, in blocks of any size."""
+    monkeypatch.setattr(passages, "CROWD", 6)
+    monkeypatch.setattr(passages, "SHARE_WINDOWS", 7)
+    r = random.Random(14)
+    own = lambda n: ["".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(n)]
+    base, texts = own(110), []
+    for i in range(70):
+        w = list(base)
+        for at in r.sample(range(len(w)), 2 if i < 35 else 9):
+            w[at] = own(1)[0]
+        texts.append(" ".join(w))
+    hashed = [passages.word_hashes(t.encode()) for t in texts]
+    n = len(texts)
+    root = list(range(n))
+    for _ in range(n):
+        for a in range(n):
+            for b in range(a):
+                if root[a] != root[b] and passages.aligned(hashed[a], hashed[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[k]] == root[k] for k in range(n)):
+            break
+    sizes = Counter(root)
+    tried, verified = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda pairs, words: tried.append(pairs.count()) or verified(pairs, words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = passages.op3_passages(spark, str(tmp_path)).collect()
+    assert sum(v == 1 for v in sizes.values()) > 5
+    assert sorted((x.doc_id, x.n_documents) for x in got) == [(k, sizes[root[k]]) for k in range(n) if sizes[root[k]] > 1]
+    assert sum(tried) < n * (n - 1) / 6
+
+
 def _similar_passages(x, y):
     """Brute force: whether two texts have passages of 50 words, at whatever places, of similarity 0.8."""
     for size in (50, 53, 60):
