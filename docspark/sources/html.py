@@ -12,15 +12,15 @@ from docspark.sources import markup
 BLOCKS = "doc_id long, chapter_index int, block_order int, block_id string, type string, text string"
 
 
-def leaf_blocks(html: str) -> list[tuple[str, str]]:
+def leaf_blocks(html: str, closed: bool = False) -> list[tuple[str, str]]:
     """``(type, text)`` of the leaf text tags in document order, blank ones left out."""
-    return [(leaf.kind, leaf.text) for leaf in markup.leaves(html)]
+    return [(leaf.kind, leaf.text) for leaf in markup.leaves(html, closed)]
 
 
-def blocks(chapters: DataFrame) -> DataFrame:
+def blocks(chapters: DataFrame, closed: bool = False) -> DataFrame:
     """Blocks of ``(doc_id, chapter_index, html)``, where ``html`` is text, or bytes in an encoding of their own.
 
-    A chapter without any block gives no row.
+    A chapter without any block gives no row.  With ``closed`` a reference without its semicolon is text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,7 +28,7 @@ def blocks(chapters: DataFrame) -> DataFrame:
             made = []
             for doc_id, chapter, value in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 text = markup.decoded(value)[0] if isinstance(value, bytes) else value or ""
-                made += [(doc_id, chapter, n, f"ch-{chapter}-b{n}", *block) for n, block in enumerate(leaf_blocks(text))]
+                made += [(doc_id, chapter, n, f"ch-{chapter}-b{n}", *block) for n, block in enumerate(leaf_blocks(text, closed))]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             names = [f.split(" ")[0] for f in BLOCKS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names=names)
