@@ -149,6 +149,44 @@ def chunks(packed: DataFrame, max_tokens: int = MAX_TOKENS, context_chars: int =
     return rows.withColumn("chunk_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_index", "chunk_index")) - 1)
 
 
+def chunk_starts(tokens: np.ndarray, max_tokens: int) -> list[int]:
+    """Where the chunks of a chapter begin among its blocks: each goes as far as the prefix sums allow, by a block at least."""
+    upto, out, at = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)]), [], 0
+    while at < len(tokens):
+        out.append(at)
+        at = max(at + 1, int(np.searchsorted(upto, upto[at] + max_tokens, side="right")) - 1)
+    return out
+
+
+def chunk_rows(chapters: DataFrame, max_tokens: int = MAX_TOKENS, context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """``chunks`` of chapters that come as rows ``(doc_id, chapter_index, blocks)``, blocks in order: nothing is shuffled.
+
+    Only numbers of tokens go to Python.  ``chunk_seq`` grows along a document; from chapter to chapter it leaves numbers out.
+    """
+    if context_chars < 1:
+        raise ValueError("context_chars must be positive")
+
+    @F.pandas_udf("array<int>")
+    def starts(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: chunk_starts(t, max_tokens))
+
+    def part(array: str, i: Column) -> Column:
+        return F.slice(array, F.get("starts", i) + 1, F.coalesce(F.get("starts", i + 1), F.size("blocks")) - F.get("starts", i))
+
+    rows = chapters.select(*CHAPTER, "blocks", F.transform("blocks", lambda b: estimate_tokens(b["text"])).alias("tokens")).withColumn("starts", starts("tokens"))
+    rows = rows.withColumn("texts", F.transform("starts", lambda s, i: F.array_join(F.transform(part("blocks", i), lambda b: b["text"]), "\n\n")))
+    made = F.transform(
+        "texts",
+        lambda t, i: F.struct(
+            i.alias("chunk_index"), part("blocks", i).alias("blocks"), F.aggregate(part("tokens", i), F.lit(0), lambda a, n: a + n).alias("est_tokens"),
+            t.alias("chunk_text"), F.nullif(F.right(F.get("texts", i - 1), F.lit(context_chars)), F.lit("")).alias("context"),
+        ),
+    )
+    rows = rows.select(*CHAPTER, F.explode(made).alias("c")).select(*CHAPTER, "c.*")
+    place = F.col("chapter_index").cast("long") * (1 << 32) + F.col("chunk_index")
+    return rows.withColumn("n_blocks", F.size("blocks")).withColumn("oversize", F.col("est_tokens") > max_tokens).withColumn("chunk_seq", place)
+
+
 def structure_section(n_blocks: Column) -> Column:
     return F.when(n_blocks > 1, F.format_string(STRUCTURE, n_blocks))
 

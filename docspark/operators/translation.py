@@ -49,16 +49,22 @@ def parts_fit(n_blocks: Column, answer: Column) -> Column:
     return (n_blocks == 1) | (F.size(answer_parts(answer)) == n_blocks)
 
 
-def apply_answers(answered: DataFrame, answer: str = "answer") -> DataFrame:
-    """A row per block: ``doc_id, chapter_index, block_order, block_id, text, translated_text``.
+def placed(n_blocks: Column, answer: Column) -> Column:
+    """The translated text of each block of a chunk.
 
     An answer of as many parts as blocks goes to them by place; any other goes to the
     first block whole and leaves the rest blank.
     """
-    rows = answered.withColumn("parts", answer_parts(F.col(answer)))
-    rows = rows.select("doc_id", "chapter_index", "n_blocks", "parts", F.col(answer).alias("__answer"), F.posexplode("blocks").alias("at", "block"))
-    out = F.when(F.col("n_blocks") == 1, F.col("__answer")).when(F.size("parts") == F.col("n_blocks"), F.get("parts", F.col("at"))).when(F.col("at") == 0, strip("__answer")).otherwise("")
-    return rows.select("doc_id", "chapter_index", "block.block_order", "block.block_id", "block.text", out.alias("translated_text"))
+    parts = answer_parts(answer)
+    whole = F.concat(F.array(strip(answer)), F.array_repeat(F.lit(""), n_blocks - 1))
+    return F.when(n_blocks == 1, F.array(answer)).when(F.size(parts) == n_blocks, parts).otherwise(whole)
+
+
+def apply_answers(answered: DataFrame, answer: str = "answer") -> DataFrame:
+    """A row per block: the ``doc_id`` and ``chapter_index`` of its chunk, what ``blocks`` tells of it, and ``translated_text``."""
+    rows = answered.withColumn("translated_text", placed(F.col("n_blocks"), F.col(answer)))
+    rows = rows.select("doc_id", "chapter_index", F.explode(F.arrays_zip("blocks", "translated_text")).alias("b"))
+    return rows.select("doc_id", "chapter_index", "b.blocks.*", "b.translated_text")
 
 
 def failed(answered: DataFrame) -> DataFrame:

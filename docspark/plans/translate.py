@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docspark.operators import chunking, glossary as terms, rebuild, translation
-from docspark.plans.scratch import settle, shared_dir
+from docspark.plans.scratch import emptied, settle, settled, shared_dir, swept
 from docspark.sources import epub, html, txt
 
 KEY = ["doc_id", "chapter_index", "chunk_index"]
@@ -20,8 +20,15 @@ def block_requests(blocks: DataFrame, glossary: DataFrame | None = None, max_tok
     return chunking.requests(terms.with_terms(made, glossary, KEY) if glossary is not None else made)
 
 
+def chapter_requests(chapters: DataFrame, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
+    """The same of chapters that come as rows with their blocks.  A text is in a request once: blocks keep their order and id."""
+    made = chunking.chunk_rows(chapters, max_tokens, context_chars)
+    rows = chunking.requests(terms.with_terms(made, glossary, KEY) if glossary is not None else made)
+    return rows.drop("chunk_text").withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["block_order"], b["block_id"])))
+
+
 def requests(docs: DataFrame, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS) -> DataFrame:
-    return block_requests(txt.blocks(docs), glossary, max_tokens, context_chars)
+    return chapter_requests(txt.chapters(docs), glossary, max_tokens, context_chars)
 
 
 #: What a store of answers holds: by digest of the request, of which run, and what came of it.
@@ -31,31 +38,40 @@ TASK_REQUESTS = 500
 
 
 def answers(request_rows: DataFrame, factory: Callable, store: str | None = None, translator: str = "") -> DataFrame:
-    """Requests with their answers.  A translator costs: equal requests are asked once, and none that ``store`` answers.
+    """Requests with their answers, without what was asked.  A translator costs: equal requests are asked once, and none that ``store`` answers.
 
     ``store`` is a folder that keeps answers between runs, by digest of ``translator`` (its name and version) and request.
     Each task's answers are added to it when that task ends, whatever becomes of the others; so a run that is broken off and
     repeated asks again only what its unfinished tasks had asked.  Errors are kept too, but asked again by the next run.
+
+    Texts of requests lie on disk until they are answered, answers of a run without a store until they are with their requests.
     """
-    spark = request_rows.sparkSession
+    spark, fresh = request_rows.sparkSession, store is None
     store, run = store or f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}", uuid.uuid4().hex
     digest = F.sha2(F.to_json(F.struct(F.lit(translator).alias("translator"), "request_text", "request_context")), 256)
-    request_rows = settle(request_rows.withColumn("digest", digest), "requests")
-    spark.createDataFrame([], ANSWERS).write.mode("append").parquet(store)
-    held = spark.read.schema(ANSWERS).parquet(store)
-    known = held.filter("error is null").select("digest").distinct()
-    asked = settle(request_rows.select("digest", "request_text", "request_context").dropDuplicates(["digest"]).join(known, "digest", "left_anti"), "asked")
-    tasks = -(-asked.count() // TASK_REQUESTS)
-    if tasks:
-        told = translation.translate(asked.repartition(tasks, F.xxhash64("digest")), factory, ["digest"]).withColumn("run", F.lit(run))
-        # this way of committing makes the files of a task final with the task, not with the job
-        told.select(*held.columns).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
-    # tasks that ran twice, and runs at the same time, may answer twice: one answer counts
-    fit = spark.read.schema(ANSWERS).parquet(store).filter(F.col("error").isNull() | (F.col("run") == run))
-    one = F.min(F.struct(F.col("error").isNotNull().alias("failed"), F.col("text").alias("answer"), "input_tokens", "output_tokens", "error")).alias("a")
-    given = fit.join(request_rows.select("digest"), "digest", "left_semi").groupBy("digest").agg(one)
-    given = settle(given.select("digest", "a.answer", "a.input_tokens", "a.output_tokens", "a.error"), "answers")
-    return request_rows.join(given, "digest").drop("digest")
+    with settled(request_rows.drop("chunk_text", "context", "terms").withColumn("digest", digest), "requests") as rows:
+        spark.createDataFrame([], ANSWERS).coalesce(1).write.mode("append").parquet(store)
+        held = spark.read.schema(ANSWERS).parquet(store)
+        known = held.filter("error is null").select("digest").distinct()
+        # texts are brought together once: equal requests meet in the task that asks
+        tasks = -(-rows.select("digest").distinct().join(known, "digest", "left_anti").count() // TASK_REQUESTS)
+        if tasks:
+            asked = rows.select("digest", "request_text", "request_context", F.xxhash64("digest").alias("place")).join(known, "digest", "left_anti")
+            told = translation.translate(asked.repartition(tasks, "place").dropDuplicates(["place", "digest"]), factory, ["digest"]).withColumn("run", F.lit(run))
+            with swept(spark):
+                # this way of committing makes the files of a task final with the task, not with the job
+                told.select(*held.columns).write.mode("append").option("compression", "zstd").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+        rows = settle(rows.drop("request_text", "request_context"), "asked")
+    # tasks that ran twice, and runs at the same time, may answer twice: one answer counts, the first by file and row
+    fit = spark.read.schema(ANSWERS).parquet(store).select("*", "_metadata.file_path", "_metadata.row_index").filter(F.col("error").isNull() | (F.col("run") == run))
+    if not fresh:
+        fit = fit.join(rows.select("digest"), "digest", "left_semi")
+    order = Window.partitionBy("digest").orderBy(F.col("error").isNotNull(), "file_path", "row_index")
+    given = fit.withColumn("first", F.row_number().over(order) == 1).filter("first").select("digest", F.col("text").alias("answer"), "input_tokens", "output_tokens", "error")
+    answered = settle(rows.join(given, "digest").drop("digest"), "answers")
+    if fresh:
+        emptied(spark, store, ANSWERS)
+    return answered
 
 
 def _told(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -67,7 +83,9 @@ def _told(rows: DataFrame, bad: DataFrame) -> DataFrame:
 def translated(docs: DataFrame, answered: DataFrame) -> DataFrame:
     """``(doc_id, output, status, error_message)`` of every document; one failing chunk fails its document whole."""
     bad = translation.failed(answered).select("doc_id", "error_message")
-    return _told(rebuild.text(docs, translation.apply_answers(answered.join(bad, "doc_id", "left_anti"))), bad)
+    texts = F.array_join(translation.placed(F.col("n_blocks"), F.col("answer")), "\n\n").alias("translated_text")
+    pieces = answered.select("doc_id", "chapter_index", F.col("chunk_index").alias("block_order"), F.lit(None).cast("string").alias("text"), texts)
+    return _told(rebuild.text(docs, pieces), bad)
 
 
 def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, context_chars: int = chunking.CONTEXT_CHARS, store: str | None = None, translator: str = "") -> DataFrame:

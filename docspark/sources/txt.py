@@ -58,6 +58,12 @@ def read_files(spark, path: str, glob: str = "*.txt") -> DataFrame:
     return files.select("path", "length", decoded(F.col("content")).alias("d")).select("path", "length", "d.text", "d.error")
 
 
+def chapters(docs: DataFrame) -> DataFrame:
+    """``(doc_id, chapter_index, blocks)`` of ``(doc_id, text)``: one chapter, its paragraphs in one array."""
+    block = lambda t, n: F.struct(n.alias("block_order"), F.concat(F.lit("p-"), n.cast("string")).alias("block_id"), t.alias("text"))
+    return docs.select("doc_id", F.lit(0).alias("chapter_index"), F.transform(paragraphs(F.coalesce("text", F.lit(""))), block).alias("blocks"))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Blocks of ``(doc_id, text)``: one chapter, paragraphs between blank lines, numbered without gaps."""
     rows = docs.select("doc_id", F.posexplode(paragraphs(F.coalesce("text", F.lit("")))).alias("block_order", "text"))
