@@ -23,11 +23,14 @@ def body_sizes(spans: DataFrame) -> DataFrame:
 
 
 def block_texts(spans: DataFrame) -> DataFrame:
-    """``(doc_id, page_number, block_no, text, max_size)``."""
-    line = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]))
-    lines = spans.groupBy("doc_id", "page_number", "block_no", "line_no").agg(strip(line).alias("line"), F.max("size").alias("size"))
-    joined = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), lambda x: x != ""), " ")
-    return lines.groupBy("doc_id", "page_number", "block_no").agg(collapse(joined).alias("text"), F.max("size").alias("max_size"))
+    """``(doc_id, page_number, block_no, text, max_size)``: spans come together once, with their lines.
+
+    Lines are joined by blanks, and as runs of white space become one blank, none of them is stripped alone.
+    """
+    rows = spans.groupBy("doc_id", "page_number", "block_no").agg(F.collect_list(F.struct("line_no", "span_no", "text")).alias("spans"), F.max("size").alias("max_size")).withColumn("spans", F.array_sort("spans"))
+    breaks = lambda s, i: F.when((i > 0) & (s["line_no"] != F.get("spans", i - 1)["line_no"]), " ").otherwise("")
+    joined = F.array_join(F.transform("spans", lambda s, i: F.concat(breaks(s, i), F.coalesce(s["text"], F.lit("")))), "")
+    return rows.select("doc_id", "page_number", "block_no", collapse(joined).alias("text"), "max_size")
 
 
 def kind(text: Column, max_size: Column, body_size: Column) -> Column:
