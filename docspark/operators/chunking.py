@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -52,62 +54,85 @@ def pack(blocks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 RANGE_BLOCKS = 50_000
 
 
-def range_table(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each number of tokens that the open chunk may hold where ``tokens`` begin: chunks that start in them, and what is held at their end.
+def range_steps(tokens: list[int], max_tokens: int) -> tuple[list[int], list[int], list[int], int, int]:
+    """What a range of blocks does to a chunk that is open where it begins, by the room that the chunk has left.
 
-    Entries 0 to ``max_tokens`` are that number, the next one is any more, and the last one is no chunk at all.  Chunks follow
-    each other by pointers: from the start of each to that of the next, found in the prefix sums.
+    ``room`` are the prefix sums up to ``max_tokens``: a chunk with at least that much room left takes these blocks, then ``started`` chunks
+    start and the last one holds ``end``; where none starts, the open chunk holds ``end`` more.  The two numbers are those of a range
+    whose first block starts a chunk.  Chunks follow each other by pointers: from the start of each to that of the next.
     """
-    n, upto = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
-    follow = np.maximum(np.arange(n) + 1, np.searchsorted(upto, upto[:-1] + max_tokens, side="right") - 1)
-    count, left = np.zeros(n, dtype=np.int64), upto[n] - upto[:-1]
+    n, upto = len(tokens), [0, *accumulate(tokens)]
+    count, left, last = [0] * n, [0] * n, n
     for k in range(n - 1, -1, -1):
-        if follow[k] < n:
-            count[k], left[k] = count[follow[k]] + 1, left[follow[k]]
-    held = np.arange(max_tokens + 1)
-    first = np.append(np.searchsorted(upto, max_tokens - held, side="right") - 1, [0, 0])
-    stays = first == n
-    at = np.minimum(first, n - 1)
-    started, end = np.where(stays, 0, count[at] + 1), np.where(stays, np.append(held, [0, 0]) + upto[n], left[at])
-    started[-1] -= 1  # the first chunk of a chapter is not a new one
-    return started, np.minimum(end, max_tokens + 1)
+        while upto[last] > upto[k] + max_tokens:
+            last -= 1
+        follow = max(last, k + 1)
+        count[k], left[k] = (count[follow] + 1, left[follow]) if follow < n else (0, min(upto[n] - upto[k], max_tokens + 1))
+    room, started, end = [], [], []
+    for k in range(n + 1):
+        if upto[k] > max_tokens:
+            break
+        if room and room[-1] == upto[k]:
+            room.pop(), started.pop(), end.pop()
+        room.append(upto[k])
+        started.append(count[k] + 1 if k < n else 0)
+        end.append(left[k] if k < n else upto[n])
+    return room, started, end, count[0], left[0]
+
+
+def range_step(steps: tuple[list[int], list[int], list[int], int, int], state: int, max_tokens: int) -> tuple[int, int]:
+    """Chunks that start in a range, and what is held at its end, where it begins with a chunk of ``state`` tokens; one more than ``max_tokens`` is any more, two more are no chunk at all."""
+    room, started, end, first, left = steps
+    if state > max_tokens:
+        return first + (state == max_tokens + 1), left
+    k = bisect_right(room, max_tokens - state) - 1
+    return started[k], end[k] if started[k] else min(state + end[k], max_tokens + 1)
+
+
+def range_table(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """``range_step`` for each state: 0 to ``max_tokens`` tokens, more, and no chunk at all."""
+    steps = range_steps([int(t) for t in tokens], max_tokens)
+    started, end = zip(*[range_step(steps, state, max_tokens) for state in range(max_tokens + 3)])
+    return np.array(started), np.array(end)
 
 
 def pack_wide(blocks: DataFrame, max_tokens: int = MAX_TOKENS, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
     """``pack`` for chapters larger than a task: the same rows.
 
-    A chapter is cut into ranges of blocks.  What a range does to a chunk that is open where it begins is a small table,
-    made for all ranges at once; one look-up a range tells with what each begins; then all ranges are packed at once.
+    A chapter is cut into ranges of blocks.  What a range does to a chunk that is open where it begins is a table of no more
+    rows than it has blocks, made for all ranges at once; one look-up a range tells with what each begins; then all ranges are packed at once.
     """
     rows = blocks.filter("type <> 'image'").select(*CHAPTER, "block_order", "block_id", "text", estimate_tokens("text").alias("est_tokens"), F.expr(f"cast(block_order div {range_blocks} as int)").alias("range"))
     part = [*CHAPTER, "range"]
     key = ", ".join(f"{c} {t}" for c, t in rows.select(*part).dtypes)
+    steps = ["room", "started", "end", "first", "left"]
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def made() -> pd.DataFrame:
-            started, end = range_table(np.concatenate(held), max_tokens)
-            return pd.DataFrame([(*now, started, end)], columns=[*part, "started", "end"])
-
-        now, held = None, []
+        now, held, out = None, [], []
         for batch in batches:
-            for name, group in batch.groupby(part, sort=False):
+            for *name, tokens in zip(*[batch[c] for c in [*part, "est_tokens"]]):
                 if name != now:
                     if held:
-                        yield made()
+                        out.append((*now, *range_steps(held, max_tokens)))
                     now, held = name, []
-                held.append(group["est_tokens"].to_numpy())
+                held.append(tokens)
+            if out:
+                yield pd.DataFrame(out, columns=[*part, *steps])
+                out = []
         if held:
-            yield made()
+            yield pd.DataFrame([(*now, *range_steps(held, max_tokens))], columns=[*part, *steps])
 
     def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chapter, state, chunk = None, 0, 0
         for batch in batches:
             out = []
-            for doc, number, range_, started, end in zip(*[batch[c] for c in [*part, "started", "end"]]):
+            for doc, number, range_, *told in zip(*[batch[c] for c in [*part, *steps]]):
                 if (doc, number) != chapter:
                     chapter, state, chunk = (doc, number), max_tokens + 2, 0
                 out.append((doc, number, range_, state, chunk))
-                state, chunk = int(end[state]), chunk + int(started[state])
+                started, state = range_step(told, state, max_tokens)
+                chunk += int(started)
+                state = int(state)
             yield pd.DataFrame(out, columns=[*part, "state", "chunk"])
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +155,7 @@ def pack_wide(blocks: DataFrame, max_tokens: int = MAX_TOKENS, range_blocks: int
 
     names = [*CHAPTER, "block_order", "block_id", "text", "est_tokens", "chunk_index"]
     lean = rows.select(*part, "block_order", "est_tokens").repartition(*part).sortWithinPartitions(*part, "block_order")
-    found = lean.mapInPandas(tables, f"{key}, started array<long>, end array<long>")
+    found = lean.mapInPandas(tables, f"{key}, room array<int>, started array<int>, end array<int>, first int, left int")
     starts = found.repartition(*[F.col(c) for c in CHAPTER]).sortWithinPartitions(*part).mapInPandas(begins, f"{key}, state long, chunk long")
     marks = starts.withColumn("block_order", F.lit(-1))
     both = rows.withColumn("state", F.lit(-1).cast("long")).withColumn("chunk", F.lit(-1).cast("long")).unionByName(marks, allowMissingColumns=True)
