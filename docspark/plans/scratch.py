@@ -38,7 +38,8 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, held)
 
 
-def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+def written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """``df`` written once to the shared folder: where, and read back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with swept(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
@@ -47,7 +48,7 @@ def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so nothing computes it again."""
-    return _written(df, name)[1]
+    return written(df, name)[1]
 
 
 def emptied(spark: SparkSession, path: str, schema) -> None:
@@ -58,7 +59,7 @@ def emptied(spark: SparkSession, path: str, schema) -> None:
 @contextlib.contextmanager
 def settled(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """The same table for as long as it is needed: its files go at the end."""
-    path, rows = _written(df, name)
+    path, rows = written(df, name)
     try:
         yield rows
     finally:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docspark.operators import chunking, glossary as terms, rebuild, translation
-from docspark.plans.scratch import emptied, settle, settled, shared_dir, swept
+from docspark.plans.scratch import emptied, settle, settled, shared_dir, swept, written
 from docspark.sources import epub, html, txt
 
 KEY = ["doc_id", "chapter_index", "chunk_index"]
@@ -46,6 +46,11 @@ def answers(request_rows: DataFrame, factory: Callable, store: str | None = None
 
     Texts of requests lie on disk until they are answered, answers of a run without a store until they are with their requests.
     """
+    return _answers(request_rows, factory, store, translator)[1]
+
+
+def _answers(request_rows: DataFrame, factory: Callable, store: str | None, translator: str) -> tuple[str, DataFrame]:
+    """The answers, and the folder they are in."""
     spark, fresh = request_rows.sparkSession, store is None
     store, run = store or f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}", uuid.uuid4().hex
     digest = F.sha2(F.to_json(F.struct(F.lit(translator).alias("translator"), "request_text", "request_context")), 256)
@@ -68,10 +73,10 @@ def answers(request_rows: DataFrame, factory: Callable, store: str | None = None
         fit = fit.join(rows.select("digest"), "digest", "left_semi")
     order = Window.partitionBy("digest").orderBy(F.col("error").isNotNull(), "file_path", "row_index")
     given = fit.withColumn("first", F.row_number().over(order) == 1).filter("first").select("digest", F.col("text").alias("answer"), "input_tokens", "output_tokens", "error")
-    answered = settle(rows.join(given, "digest").drop("digest"), "answers")
+    path, answered = written(rows.join(given, "digest").drop("digest"), "answered")
     if fresh:
         emptied(spark, store, ANSWERS)
-    return answered
+    return path, answered
 
 
 def _told(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -96,8 +101,10 @@ def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame |
     """
     opened = settle(epub.entries(files), "epub-entries")
     chapter_rows = epub.chapters(opened)
-    answered = answers(block_requests(html.blocks(chapter_rows), glossary, max_tokens, context_chars), factory, store, translator)
-    rendered = settle(epub.render_chapters(chapter_rows, translation.apply_answers(answered.filter("error is null"))), "epub-rendered")
+    told, answered = _answers(chapter_requests(html.chapters(chapter_rows), glossary, max_tokens, context_chars), factory, store, translator)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", translation.placed(F.col("n_blocks"), F.col("answer")).alias("texts"))))
+    texts = answered.filter("error is null").groupBy("doc_id", "chapter_index").agg(parts.alias("parts"))
+    rendered = settle(epub.render_texts(chapter_rows, texts.select("doc_id", "chapter_index", F.flatten("parts.texts").alias("texts"))), "epub-rendered")
     missing = epub.missing_entries(opened, rendered)
     # of several errors the first kind counts: reading, translating, rendering
     kinds = [
@@ -110,5 +117,7 @@ def translated_epubs(files: DataFrame, factory: Callable, glossary: DataFrame |
     for n, more in enumerate(kinds[1:], 1):
         every = every.unionByName(more.withColumn("kind", F.lit(n)))
     bad = settle(every.groupBy("doc_id").agg(F.min_by("error_message", "kind").alias("error_message")), "epub-failed")
+    emptied(opened.sparkSession, told, answered.schema)  # what was answered is in the chapters now
     packed = epub.pack(epub.merge_entries(opened.join(bad, "doc_id", "left_anti"), rendered))
-    return _told(files.select("doc_id").join(packed, "doc_id", "left"), bad)
+    # every archive has an entry or an error
+    return _told(opened.select("doc_id").distinct().join(packed, "doc_id", "left"), bad)

@@ -230,7 +230,12 @@ def render_chapters(chapter_rows: DataFrame, block_rows: DataFrame) -> DataFrame
     chapter the row has an error and no part.
     """
     texts = block_rows.groupBy("doc_id", "chapter_index").agg(F.array_sort(F.collect_list(F.struct("block_order", F.coalesce("translated_text", "text").alias("t")))).alias("b"))
-    both = chapter_rows.filter("last").join(texts, ["doc_id", "chapter_index"]).select("doc_id", F.col("entry_name").alias("name"), "html", F.transform("b", lambda x: x["t"]).alias("texts"))
+    return render_texts(chapter_rows, texts.select("doc_id", "chapter_index", F.transform("b", lambda x: x["t"]).alias("texts")))
+
+
+def render_texts(chapter_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same from ``(doc_id, chapter_index, texts)``: the texts of a chapter's blocks in order."""
+    both = chapter_rows.filter("last").join(texts, ["doc_id", "chapter_index"]).select("doc_id", F.col("entry_name").alias("name"), "html", "texts")
     shape = pa.struct([("method", pa.int32()), ("crc", pa.int64()), ("file_size", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
